@@ -41,10 +41,10 @@ from .common import file_system, fresh_dir, stored
 MAGIC = b"SSTTOK01"
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 BLOCK_BYTES = 1 << 18
-#: Words whose ids a worker remembers before it forgets them all.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker remembers.
+CACHE_WORDS = 1_500_000
 #: White space of str.split() beyond the four characters at which every pre-tokenizer splits.
-ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 PLAIN_SPACE = re.compile("[ \t\n\r]+")
 
 
@@ -53,28 +53,61 @@ class WordEncoder:
 
     Valid for vocabularies whose pre-tokenizer drops white space and never joins
     across it; ``test_token_store`` holds it against encoding of whole texts.
+    Words are kept in two generations of at most half of ``CACHE_WORDS``, so
+    frequent ones stay when rare ones go.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = PLAIN_SPACE.split(text) if ODD_SPACE.search(text) else text.split()
-        known = self.words
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes distinct words in one call; offsets tell whose the ids are."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        found = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
+        starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
+        cuts = np.searchsorted(starts, ends).tolist()
+        ids, at = np.asarray(found.ids, self.dtype).tobytes(), 0
+        for w, cut in zip(words, cuts, strict=True):
+            cut *= self.dtype.itemsize
+            self.young[w] = ids[at:cut]
+            at = cut
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, in order."""
+        split = [PLAIN_SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
+        young = self.young
+        if new := set().union(*split).difference(young):
+            if len(young) + len(new) > CACHE_WORDS // 2:
+                self.old, self.young = young, {}
+                new, young = set().union(*split), self.young
+            old = self.old
+            unknown = []
+            for w in new:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    unknown.append(w)
+            if unknown:
+                self.learn(unknown)
+        return [np.frombuffer(b"".join([young[w] for w in words]), self.dtype) for words in split]
+
+
+def grouped(rows: Iterator[tuple], most_chars: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Lists of rows (..., text) of about that many characters in all."""
+    group, chars = [], 0
+    for row in rows:
+        group.append(row)
+        chars += len(row[-1])
+        if chars >= most_chars:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
 
 
 @functools.lru_cache(maxsize=2)
@@ -138,7 +171,7 @@ class ShardWriter:
                 shared += 1
         else:
             self.first = key
-        value = ids.astype(f"<u{self.width}").tobytes()
+        value = ids.astype(f"<u{self.width}", copy=False).tobytes()
         entry = varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         self.block.append(entry)
         self.block_bytes += len(entry)
@@ -230,10 +263,10 @@ class ShardReader:
         return None
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out_dir: str | None = None, width: int = 2) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out_dir: str | None = None) -> DataFrame:
     """Writes (doc_id, text) as shards and returns their manifest: shard, path, docs, tokens, start.
 
-    width: bytes an id takes; 2 is enough below 65,536 ids. The manifest has one
+    An id takes two bytes if the vocabulary allows, else four. The manifest has one
     row a shard; ``start`` is the number of ids in the shards before it.
     """
     spark = docs.sparkSession
@@ -246,14 +279,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out_dir:
         writer, encode, task = None, encoder(tokenizer_path), TaskContext.get()
         name = f"{base}/shard-{task.partitionId():06d}.sst"
         temporary = f"{name}.{task.taskAttemptId()}.tmp"
-        for batch in batches:
-            for doc_id, text in zip(batch.doc_id.array, batch.text.array, strict=True):
-                if writer is None:
-                    fs.create_dir(base, recursive=True)
-                    sink = fs.open_output_stream(temporary)
-                    writer = ShardWriter(sink, width)
-                ids = np.frombuffer(encode(text if isinstance(text, str) else ""), "<u4")
-                writer.add(key_bytes(None if pd.isna(doc_id) else int(doc_id)), np.append(ids, np.uint32(end_id)))
+        rows = ((None if pd.isna(d) else int(d), t if isinstance(t, str) else "") for batch in batches for d, t in zip(batch.doc_id.array, batch.text.array, strict=True))
+        for group in grouped(rows):
+            if writer is None:
+                fs.create_dir(base, recursive=True)
+                sink = fs.open_output_stream(temporary)
+                writer = ShardWriter(sink, encode.dtype.itemsize)
+            for (doc_id, _), ids in zip(group, encode([t for _, t in group]), strict=True):
+                writer.add(key_bytes(doc_id), np.append(ids, encode.dtype.type(end_id)))
         if writer is not None:
             writer.close()
             sink.close()
@@ -286,5 +319,5 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
         return out.assign(doc_id=out.doc_id.astype("Int64"))
 
-    spread = manifest.select("path", "start", "shard").repartition("shard")
+    spread = manifest.select("path", "start", "shard").repartition(max(1, manifest.count()), "shard")  # a manifest has one row a shard
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
