@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, extract, labelled, mixing, quality, simhash, token_store, toxicity
+from . import chat, decontaminate, extract, labelled, mixing, neighbours, quality, simhash, substrings, token_store, toxicity
 from .common import table
 from .oracles import OP1
 
@@ -35,6 +35,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "source", mixing.tokens(F.col("text")).alias("n_tokens"), "epoch", "block", "at")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, wanted=20)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -44,6 +48,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality"), threshold=0.3)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return chat.read(spark, chat.write(turns.union(extra)))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic"))
@@ -66,7 +81,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_extract, op3_mixing, op5_simhash, op6_quality, op9_toxicity, op10_token_store)
+    found = (op1_decontaminate, op2_extract, op3_mixing, op4_neighbours, op5_simhash, op6_quality, op7_chat, op8_substrings, op9_toxicity, op10_token_store)
     return {f.__name__: shipped(f) for f in found}
 
 
