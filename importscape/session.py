@@ -29,5 +29,5 @@ def ship(spark: SparkSession) -> None:
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """For tests and benches on one machine; a cluster brings its own settings."""
-    conf = {"spark.sql.shuffle.partitions": partitions, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.sql.adaptive.enabled": "true"}
+    conf = {"spark.sql.shuffle.partitions": partitions, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g", "spark.sql.adaptive.enabled": "true"}
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
