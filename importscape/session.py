@@ -31,3 +31,11 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """For tests and benches on one machine; a cluster brings its own settings."""
     conf = {"spark.sql.shuffle.partitions": partitions, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g", "spark.sql.adaptive.enabled": "true"}
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
+
+
+def stored(df):
+    """Computes df once into the shared checkpoint folder; set for tests where the session names none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    return df.checkpoint(eager=True)
