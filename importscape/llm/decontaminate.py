@@ -13,7 +13,7 @@ probe the sketches with all their hashes, and skip classes too large for them.
 What the search finds is then verified on the shingles themselves.
 
 DataFrame functions only. One pass over the documents, without a shuffle, while the
-sketches are within ``BROADCAST_ROWS``; beyond that, hashes are joined by a shuffle.
+sketches are within ``LITERAL_ROWS``; beyond that, hashes are joined by a shuffle.
 
 Defined results: null and empty texts match nothing; each row of a repeated
 document gives its own rows; an empty table gives no rows; extra columns are
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import hinted, stored
 
 THRESHOLD, WORDS = 0.8, 5
-#: Sketch entries, and ids of documents to remove, that may be broadcast.
-BROADCAST_ROWS, BROADCAST_IDS = 200_000, 500_000
+#: Sketch entries that may be literals of the plan; ids of documents to remove that may be broadcast.
+LITERAL_ROWS, BROADCAST_IDS = 50_000, 500_000
 
 
 def words(text: Column) -> Column:
@@ -73,14 +73,17 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     entries = wanted.select("*", F.explode("sketch").alias("probe"))
     n_entries = entries.count()
     texts = docs.select("doc_id", held(words(F.col("text"))).alias("w"))
-    hashed = texts.select("doc_id", "w", each_shingle(F.col("w"), F.xxhash64).alias("h"))
-    if n_entries <= BROADCAST_ROWS:
-        probes = hashed.select("doc_id", "w", "h", F.explode_outer("h").alias("probe"))
-        met = probes.join(hinted(entries, n_entries, BROADCAST_ROWS), "probe").where(F.size("h") >= F.col("need"))
+    hashed = texts.select("doc_id", "w", held(each_shingle(F.col("w"), F.xxhash64)).alias("h"))
+    if n_entries <= LITERAL_ROWS:
+        # documents that meet no sketch leave before anything is multiplied by their length
+        known = [r.probe for r in entries.select("probe").distinct().collect()]
+        met = hashed.select("doc_id", "w", "h", held(F.filter("h", lambda x: x.isin(known))).alias("hits")).where(F.size("hits") > 0)
+        probes = met.select("doc_id", "w", "h", F.explode_outer("hits").alias("probe"))
+        met = probes.join(hinted(entries, n_entries, LITERAL_ROWS), "probe").where(F.size("h") >= F.col("need"))
         # of several sketch entries that meet, the least stands for the pair
         pairs = met.where(F.array_min(F.array_intersect("sketch", "h")) == F.col("probe"))
     else:
-        hits = hashed.select("doc_id", F.explode("h").alias("probe")).join(entries.select("item_id", "probe"), "probe").select(F.col("doc_id").alias("hit_id"), "item_id").distinct()
+        hits = hashed.select("doc_id", F.explode_outer("h").alias("probe")).join(entries.select("item_id", "probe"), "probe").select(F.col("doc_id").alias("hit_id"), "item_id").distinct()
         pairs = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "item_id", "w").join(wanted, "item_id")
     exact = pairs.select("doc_id", "item_id", "n_item", "need", F.size(F.array_intersect("shingles", strings(F.col("w")))).alias("n_shared"))
     return exact.where("n_shared >= need").select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
