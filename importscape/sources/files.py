@@ -37,11 +37,12 @@ def discover(spark: SparkSession, root: str = ".", ignored=paths.IGNORED) -> Dat
     return spark.createDataFrame(sorted(rows), MANIFEST)
 
 
-def read_tree(spark: SparkSession, root: str, ignored=paths.IGNORED, keep_root: bool = True) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, ignored=paths.IGNORED, keep_root: bool = True, manifest: DataFrame | None = None) -> DataFrame:
     """(path, content) of a tree, listed and read by Spark; bytes that are no UTF-8 are dropped.
 
-    Spark's listing skips names that begin with ``_`` or ``.``. Dropping bad bytes
-    also drops a genuine U+FFFD.
+    Spark's listing skips names that begin with ``_`` or ``.``, and empty files; files
+    of a manifest that are missing so are added with empty content. Dropping bad
+    bytes also drops a genuine U+FFFD.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     full = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
@@ -49,7 +50,10 @@ def read_tree(spark: SparkSession, root: str, ignored=paths.IGNORED, keep_root:
     below = F.substr(full, F.lit(len(base) + 2))
     path = paths.normalized(F.concat(F.lit(root.rstrip("/") + "/"), below)) if keep_root else below
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return raw.select(path.alias("path"), below.alias("below"), text.alias("content")).where(paths.is_source("below") & ~paths.is_ignored("below", ignored)).drop("below")
+    read = raw.select(path.alias("path"), below.alias("below"), text.alias("content")).where(paths.is_source("below") & ~paths.is_ignored("below", ignored)).drop("below")
+    if manifest is None:
+        return read
+    return read.join(manifest.select("path").distinct(), "path", "full").select("path", F.coalesce("content", F.lit("")).alias("content"))
 
 
 def from_snapshot(snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
