@@ -77,7 +77,7 @@ def test_tree_on_disk(spark, tmp_path):
     assert rows(files.read_tree(spark, root, keep_root=False)) == [("a.ts", "import './b'")]
     assert rows(files.read_tree(spark, root, manifest=files.discover(spark, root))) == [(f"{root}/a.ts", "import './b'"), (f"{root}/b.tsx", "")]
     out = str(tmp_path / "out")
-    g = plans.build(files.read_tree(spark, root, keep_root=False))
+    g = plans.build(files.read_tree(spark, root, manifest=files.discover(spark, root)))
     files.write_graph({"edges": g.edges, "nodes": g.nodes}, out)
     assert spark.read.json(f"{out}/edges").count() == 1
 
