@@ -131,9 +131,10 @@ def mixed(docs: DataFrame, share_of_entropy: float = 0.97, most_repeats: float =
     schedule = stored(schedule.select("mix_source", "block", "epoch", (F.col("mix_budget") - F.col("start")).alias("left"), F.coalesce(F.try_divide("start", "mix_budget"), F.lit(0.0)).alias("at"), (F.col("start") + F.col("block_tokens") > F.col("mix_budget")).alias("cut")))
     schedule = hinted(schedule.select(F.col("mix_source").alias("s"), F.col("block").alias("b"), "epoch", "left", "at", "cut"), schedule.count(), BROADCAST_BLOCKS)
 
-    placed = blocked(docs)
+    # a document's own columns travel as one, so that none can clash with those made here
+    placed = blocked(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"), "source", "doc_id", "text"))
     drawn = placed.join(schedule, placed.mix_source.eqNullSafe(F.col("s")) & (placed.block == F.col("b")))
-    kept = [*docs.columns, "epoch", "block", "at"]
+    kept = ["mix_row.*", "epoch", "block", "at"]
     whole = drawn.where("not cut").select(kept)
     # at most one block of a source is cut: its documents are walked in hash order up to the budget
     inner = Window.partitionBy("mix_source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", F.col("doc_id").cast("long")), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)

@@ -119,12 +119,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, counts: dict[int, int], smoothing
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = labelled.SAMPLE_PER_CLASS) -> Model:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "y": batch.y, "f": [f.astype(np.int32) for f in features(batch.text.tolist())]})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "y": batch.y, "f": [f.astype(np.int32).tobytes() for f in features(batch.text.tolist())]})
 
     chosen, counts = labelled.sample(docs, labels, label, per_class)
-    got = chosen.mapInPandas(run, "doc_id long, y int, f array<int>").toPandas()  # 2 * per_class rows at most
+    got = chosen.mapInPandas(run, "doc_id long, y int, f binary").toPandas()  # 2 * per_class rows at most
     got = got.iloc[np.argsort([hash_order(int(d)) for d in got.doc_id], kind="stable")] if len(got) else got
-    return fit([np.asarray(f, np.int64) for f in got.f], got.y.to_numpy(int), counts)
+    return fit([np.frombuffer(f, np.int32) for f in got.f], got.y.to_numpy(int), counts)
 
 
 def hash_order(doc_id: int) -> int:

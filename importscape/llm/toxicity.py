@@ -184,12 +184,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], counts:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = labelled.SAMPLE_PER_CLASS) -> Model:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "y": batch.y, "lang": batch.lang, "f": [f.ravel() for f in word_rows(batch.text.tolist())]})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "y": batch.y, "lang": batch.lang, "f": [f.tobytes() for f in word_rows(batch.text.tolist())]})
 
     chosen, counts = labelled.sample(docs, labels, label, per_class)
-    got = chosen.mapInPandas(run, "doc_id long, y int, lang string, f array<int>").toPandas()  # 2 * per_class rows at most
+    got = chosen.mapInPandas(run, "doc_id long, y int, lang string, f binary").toPandas()  # 2 * per_class rows at most
     got = got.iloc[np.argsort([hash_order(int(d)) for d in got.doc_id], kind="stable")] if len(got) else got
-    return fit([np.asarray(f, np.int32).reshape(-1, PARTS) for f in got.f], got.y.to_numpy(int), [x if isinstance(x, str) else None for x in got.lang], counts)
+    return fit([np.frombuffer(f, np.int32).reshape(-1, PARTS) for f in got.f], got.y.to_numpy(int), [x if isinstance(x, str) else None for x in got.lang], counts)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
