@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-TREES, INNER, CANDIDATES, SLICE_ROWS, BITS = 8, 6, 1500, 8192, 64
+TREES, INNER, CANDIDATES, SLICE_ROWS, BITS = 8, 6, 6000, 32768, 64
 SIGN = np.uint64(1 << 63)
 RESULT = "query_rep long, vec_id long, score double"
 
@@ -94,15 +94,22 @@ class Forest:
             yield found
 
 
-def nearest(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and scores of the best ``wanted`` of x for one query; ties to smaller ids."""
-    score = (x * q).sum(1)  # row by row, so that a pair's score is the same wherever it is computed
+def nearest(q: np.ndarray, x: np.ndarray, single: np.ndarray, among: np.ndarray, ids: list[np.ndarray], wanted: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and scores of the best ``wanted`` of x[among] for one query; ties to smaller ids.
+
+    single: x in single precision, which only leaves out what its error cannot
+    bring among the best.
+    """
+    if len(among) > wanted:
+        rough = single[among] @ q.astype(np.float32)
+        slack = len(q) * 2e-7 * longest * float(np.sqrt(q @ q))
+        among = among[rough >= np.partition(rough, len(rough) - wanted)[len(rough) - wanted] - slack]
+    score = (x[among] * q).sum(1)  # row by row, so that a pair's score is the same wherever it is computed
     if len(score) > wanted:
-        near = np.flatnonzero(score >= np.partition(score, len(score) - wanted)[len(score) - wanted])
-    else:
-        near = np.arange(len(score))
-    i = np.concatenate([ids[k] for k in near]) if len(near) else np.zeros(0, np.int64)
-    s = np.repeat(score[near], [len(ids[k]) for k in near])
+        near = score >= np.partition(score, len(score) - wanted)[len(score) - wanted]
+        among, score = among[near], score[near]
+    i = np.concatenate([ids[k] for k in among]) if len(among) else np.zeros(0, np.int64)
+    s = np.repeat(score, [len(ids[k]) for k in among])
     best = np.lexsort((i, -s))[:wanted]
     return i[best], s[best]
 
@@ -120,7 +127,8 @@ def search_slice(frame: pd.DataFrame, longest: float, wanted: int, inner: int, c
         else:
             first = TREES + int(tree) * inner
             found = Forest(stretched(x, longest), range(first, first + inner)).candidates(pointed(q), candidates)
-        out = [nearest(q[k], x[f], [ids[j] for j in f], wanted) for k, f in enumerate(found)]
+        single = x.astype(np.float32)
+        out = [nearest(q[k], x, single, f, ids, wanted, longest) for k, f in enumerate(found)]
         yield pd.DataFrame({"query_rep": np.repeat(queries.rep.to_numpy(np.int64), [len(i) for i, _ in out]), "vec_id": np.concatenate([i for i, _ in out]), "score": np.concatenate([s for _, s in out])})
 
 
