@@ -51,6 +51,7 @@ def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False, most_roun
 
 def impact_sets(edges: DataFrame, target: str) -> DataFrame:
     """(relation, path): upstream, downstream and the direct ones of a target, which itself is left out."""
+    edges = stored(edges.select("source", "target").distinct())
     seed = edges.sparkSession.createDataFrame([(target,)], "path string")
     parts = [closure(edges, seed, back).where(F.col("path") != target).select(F.lit(name).alias("relation"), "path") for name, back in (("upstream", False), ("downstream", True))]
     direct = neighbours(edges, target).select(F.when(F.col("direction") == "imports", "direct_upstream").otherwise("direct_downstream").alias("relation"), "path")

@@ -126,7 +126,8 @@ def impact_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def impact_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = corpus(spark, sf_dir).edges
-    return graph.impact_sets(edges, "src/main.ts").where("relation = 'downstream'").select("path")
+    seed = spark.createDataFrame([("src/main.ts",)], "path string")
+    return graph.closure(edges, seed, reverse=True).where("path <> seed").select("path")
 
 
 def trade_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
