@@ -48,6 +48,8 @@ from .hashing import buffers, mixed, span_hashes
 LENGTH, ANCHOR = 50, 24
 PLACE_BITS = np.uint64(24)  # of a place in a buffer; longer texts are cut into buffers that overlap
 BUFFER = 1 << 20
+#: Bytes of text that a task works on at a time.
+PORTION = 8 << 20
 #: Ids that may be broadcast to thin documents out before a shuffle.
 BROADCAST_IDS = 500_000
 COVERED, OPEN = 1, 2
@@ -111,7 +113,7 @@ class Stretches:
         limit = places[1:][text[starts]] - LENGTH - 1
         self.text, self.first, self.last = text[starts], starts, np.minimum(ends, limit)
         at = owner[starts]
-        self.rank = rank[at]
+        self.rank = mixed(rank[at])  # the least of many are small numbers; mixed, they spread over all parts
         context = span_hashes(raw, starts, self.last + LENGTH)
         self.key = mixed(pair(self.rank, pair(context, (at - starts).astype(np.uint64))))
 
@@ -228,13 +230,37 @@ def member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
 
 
 def numbers(data: bytes | None) -> np.ndarray:
-    return np.frombuffer(data or b"", np.uint64)
+    return np.unique(np.frombuffer(data or b"", np.uint64))
 
 
 def encoded(texts) -> list[bytes]:
     return [(t if isinstance(t, str) else "").encode("utf-8", "surrogatepass") for t in texts]
 
 
+def portions(batches: Iterator[pd.DataFrame], most: int = PORTION) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+    """Rows with their texts as bytes, about ``most`` bytes at a time."""
+    for batch in batches:
+        texts, at, size = [], 0, 0
+        for k, text in enumerate(batch.text):
+            texts += encoded([text])
+            size += len(texts[-1])
+            if size >= most or k == len(batch) - 1:
+                yield batch.iloc[at : k + 1], texts
+                texts, at, size = [], k + 1, 0
+
+
+def of_texts(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Names of keys that hold for one text only."""
+    return pair(keys, text.astype(np.uint64) + np.uint64(1))
+
+
+def wanted_of(columns: list[np.ndarray]) -> np.ndarray:
+    """The ascending names of the keys of each text."""
+    if not columns:
+        return np.zeros(0, np.uint64)
+    return np.sort(of_texts(np.repeat(np.arange(len(columns)), [len(c) for c in columns]), np.concatenate(columns)))
+
+
 def batch_number(k: int) -> int:
     from pyspark import TaskContext
 
@@ -243,9 +269,9 @@ def batch_number(k: int) -> int:
 
 def stretch_blocks(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for n, batch in enumerate(batches):
+        for n, (batch, texts) in enumerate(portions(batches)):
             found = []
-            for raw, places, text, _ in pieces(encoded(batch.text)):
+            for raw, places, text, _ in pieces(texts):
                 s = Stretches(raw, places)
                 found.append((text[s.text], s.rank, s.key))
             if found:
@@ -259,14 +285,13 @@ def string_blocks(docs: DataFrame, parts: int) -> DataFrame:
     """Blocks of the ranks at LENGTH of the strings in open stretches. docs: doc_id, text, open."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for n, batch in enumerate(batches):
-            found, keys = [], [numbers(o) for o in batch.open]
-            for raw, places, text, _ in pieces(encoded(batch.text)):
+        for n, (batch, texts) in enumerate(portions(batches)):
+            found, wanted = [], wanted_of([numbers(o) for o in batch.open])
+            for raw, places, text, _ in pieces(texts):
                 s = Stretches(raw, places)
                 if not len(s.text):
                     continue
-                cuts = np.searchsorted(s.text, np.arange(len(text) + 1))
-                own = np.concatenate([member(s.key[a:b], keys[t]) for t, a, b in zip(text, cuts[:-1], cuts[1:], strict=True)])
+                own = member(of_texts(text[s.text], s.key), wanted)
                 size = s.last[own] - s.first[own] + 1
                 at = np.repeat(s.first[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 found.append((text[np.repeat(s.text[own], size)], ranks(raw, LENGTH)[at]))
@@ -277,28 +302,36 @@ def string_blocks(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("doc_id", "text", "open").mapInPandas(run, BLOCK)
 
 
-def kept(text: bytes, covered: np.ndarray, strings: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text, and its removed spans."""
-    edge = np.zeros(len(text) + 1, np.int64)
-    for raw, places, _, offset in pieces([text]):
+def cut_out(texts: list[bytes], covered: list[np.ndarray], strings: list[np.ndarray]) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """For each text, what is left and the removed spans. covered, strings: its keys at either step."""
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    edge, by_key, by_rank = np.zeros(begins[-1] + 1, np.int32), wanted_of(covered), wanted_of(strings)
+    for raw, places, text, offset in pieces(texts):
         s = Stretches(raw, places)
         if not len(s.text):
             continue
-        base = offset[s.text] - places[s.text]
-        own = member(s.key, covered)
-        np.add.at(edge, s.first[own] + base[own], 1)
-        np.add.at(edge, s.last[own] + LENGTH + base[own], -1)
-        if len(strings):
+        base = begins[text] + offset - places[:-1]
+        own = member(of_texts(text[s.text], s.key), by_key)
+        np.add.at(edge, s.first[own] + base[s.text[own]], 1)
+        np.add.at(edge, s.last[own] + LENGTH + base[s.text[own]], -1)
+        if len(by_rank):
             rank = ranks(raw, LENGTH)
-            own = np.flatnonzero(member(rank, strings))
-            piece = np.searchsorted(places, own, "right") - 1
-            fits = own + LENGTH < places[1:][piece]
-            at = own[fits] + (offset - places[:-1])[piece[fits]]
+            piece = np.repeat(np.arange(len(places) - 1), np.diff(places))[: len(rank)]
+            fits = np.flatnonzero(np.arange(len(rank)) + LENGTH < places[1:][piece])
+            at = fits[member(of_texts(text[piece[fits]], rank[fits]), by_rank)]
+            at += base[piece[at]]
             np.add.at(edge, at, 1)
             np.add.at(edge, at + LENGTH, -1)
-    gone = np.cumsum(edge)[:-1] > 0
-    turns = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-    return np.frombuffer(text, np.uint8)[~gone].tobytes(), list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
+    gone = np.cumsum(edge) > 0
+    turns = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0))
+    bounds = np.searchsorted(turns, begins)
+    for text, begin, a, b in zip(texts, begins, bounds[:-1], bounds[1:], strict=False):
+        spans = (turns[a:b] - begin).reshape(-1, 2).tolist()
+        left, at = [], 0
+        for start, end in spans:
+            left.append(text[at:start])
+            at = end
+        yield b"".join([*left, text[at:]]), spans
 
 
 def thinned(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -306,6 +339,14 @@ def thinned(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(hinted(ids, ids.count(), BROADCAST_IDS), ["doc_id", "sha"], how)
 
 
+def joined_by_id(found: DataFrame, shared_ids: bool) -> DataFrame:
+    """One row an id where several texts share one; keys are names of strings, so they hold for each of its texts."""
+    if not shared_ids:
+        return found
+    join = lambda c: F.aggregate(F.collect_list(c), F.lit(b""), lambda a, b: F.concat(a, b)).alias(c)
+    return found.groupBy("doc_id").agg(join("covered"), join("open"))
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) for every row of docs.
 
@@ -320,19 +361,20 @@ def removed(docs: DataFrame) -> DataFrame:
     marked = stored(seen.join(least, "sha", "left"))
     copies = marked.where("doc_id > least_id").select("doc_id", "sha").distinct()
     originals = thinned(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)), copies, "left_anti")
-    first = stored(reranked(stretch_blocks(originals, parts), whole=False))
+    texts = seen.where("doc_id is not null").distinct().groupBy("doc_id").count()
+    shared_ids = not texts.where("count > 1").isEmpty()
+    first = stored(joined_by_id(reranked(stretch_blocks(originals, parts), whole=False), shared_ids))
     undecided = first.where(F.length("open") > 0).select("doc_id", "open")
     few = hinted(undecided.select("doc_id"), undecided.count(), BROADCAST_IDS)
     # a rank that is shared at this length is covered in all but the smallest document
-    second = stored(reranked(string_blocks(originals.join(few, "doc_id", "left_semi").join(undecided, "doc_id"), parts), whole=True).select("doc_id", F.col("covered").alias("strings")).where(F.length("strings") > 0))
+    second = reranked(string_blocks(originals.join(few, "doc_id", "left_semi").join(undecided, "doc_id"), parts), whole=True)
+    second = stored(joined_by_id(second, shared_ids).select("doc_id", F.col("covered").alias("strings")).where(F.length("strings") > 0))
     found = stored(first.where(F.length("covered") > 0).select("doc_id", "covered").join(second, "doc_id", "full"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, sha, text, covered, strings in zip(batch.doc_id, batch.sha, encoded(batch.text), batch.covered, batch.strings, strict=True):
-                left, spans = kept(text, numbers(covered), numbers(strings))
-                rows.append((doc_id, sha, len(text) - len(left), hashlib.sha256(left).hexdigest(), left, spans))
+        for batch, texts in portions(batches):
+            cut = cut_out(texts, [numbers(c) for c in batch.covered], [numbers(c) for c in batch.strings])
+            rows = [(doc_id, sha, len(text) - len(left), hashlib.sha256(left).hexdigest(), left, spans) for doc_id, sha, text, (left, spans) in zip(batch.doc_id, batch.sha, texts, cut, strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", "sha", "n_removed", "kept_sha256", "kept", "spans"])
 
     few = hinted(found.select("doc_id"), found.count(), BROADCAST_IDS)
