@@ -3,11 +3,11 @@
 #: Exact containment of the distinct five-word shingles (whole sequence if shorter), without any search structure.
 OP1 = r"""
 with words as (
-    select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '') as w from documents
+    select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents
     union all
-    select 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '') from benchmark
+    select 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') from benchmark
 ), shingles as (
-    select distinct kind, id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+    select distinct kind, id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                                           when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words
 ), items as (
     select id, s, count(*) over (partition by id) as n_item from shingles where kind = 'i'
