@@ -10,8 +10,14 @@ vectors, so a query meets the vectors of its longest prefixes. A task builds a s
 forest of ``INNER`` more trees over its slice. There a query descends in all trees to
 its longest matches and ascends in all of them one bit at a time until at least
 ``CANDIDATES`` entries share its prefixes; those are scored exactly, in double
-precision, and the best of all trees are merged. Work grows with the vectors, not
-with queries times vectors, and no task holds more than its slice.
+precision, and the best of all trees are merged.
+
+What the forest finds depends on how much structure the vectors have and on how many
+there are, so it only sets a bar for each query: its worst kept score. Then blocks of
+queries meet all blocks of vectors, and whatever reaches a query's bar in single
+precision is scored exactly. So the result is that of brute force at any size, at the
+price of one product for each query and vector; no task holds more than its slice, or
+a block of each kind.
 
 Equal vectors are one entry that keeps the ids that any answer can need (one more
 than the neighbours wanted), so a vector with very many copies costs one row.
@@ -19,8 +25,8 @@ than the neighbours wanted), so a vector with very many copies costs one row.
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
 component take no part, nor do rows without an id; only vectors of the query's
 length are candidates; repeated rows of an id count once if their vectors are equal;
-fewer candidates than wanted are all returned, as far as found; extra columns are
-ignored; an empty table gives no rows.
+fewer candidates than wanted are all returned; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 TREES, INNER, CANDIDATES, SLICE_ROWS, BITS = 8, 6, 6000, 32768, 64
+#: Vectors and queries of a block, least number of blocks of each, and elements of a product held at once.
+BLOCK_ROWS, BLOCK_QUERIES, LEAST_BLOCKS, PRODUCT = 65536, 8192, 4, 1 << 23
 SIGN = np.uint64(1 << 63)
 RESULT = "query_rep long, vec_id long, score double"
 
@@ -132,6 +140,38 @@ def search_slice(frame: pd.DataFrame, longest: float, wanted: int, inner: int, c
         yield pd.DataFrame({"query_rep": np.repeat(queries.rep.to_numpy(np.int64), [len(i) for i, _ in out]), "vec_id": np.concatenate([i for i, _ in out]), "score": np.concatenate([s for _, s in out])})
 
 
+def packed(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (size, embedding, rep, ids, bar) as blocks of vectors of one length, about one block a partition."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        for size, part in pd.concat(frames).groupby("size", sort=False) if frames else ():
+            x = np.array(part.embedding.tolist(), np.float32)
+            ids = [np.asarray(i, np.int64) for i in part.ids]
+            columns = {"size": size, "x": x.tobytes(), "rep": part.rep.to_numpy(np.int64).tobytes(), "bar": part.bar.to_numpy(np.float64).tobytes()}
+            yield pd.DataFrame([columns | {"n_ids": np.array([len(i) for i in ids], np.int64).tobytes(), "ids": np.concatenate(ids).tobytes()}])
+
+    return stored(rows.repartition(parts).mapInPandas(pack, "size long, x binary, rep binary, bar binary, n_ids binary, ids binary"))
+
+
+def scan(pairs: pd.DataFrame, longest: float, wanted: int) -> Iterator[pd.DataFrame]:
+    """The best entries of each block that reach the bars of the queries it is paired with."""
+    for b in pairs.itertuples():
+        single, asked = (np.frombuffer(v, np.float32).reshape(-1, b.size) for v in (b.x, b.q))
+        x, q = single.astype(np.float64), asked.astype(np.float64)
+        bars, reps = np.frombuffer(b.bar, np.float64), np.frombuffer(b.rep, np.int64)
+        ids = np.split(np.frombuffer(b.ids, np.int64), np.cumsum(np.frombuffer(b.n_ids, np.int64))[:-1])
+        least = (bars - b.size * 2e-7 * longest * np.sqrt((q * q).sum(1))).astype(np.float32)
+        step = max(1, PRODUCT // len(x))
+        for at in range(0, len(q), step):
+            row, entry = np.nonzero(~(asked[at : at + step] @ single.T < least[at : at + step, None]))
+            cuts = np.searchsorted(row, np.arange(min(step, len(q) - at) + 1))
+            for k in np.unique(row):
+                i, s = nearest(q[at + k], x, single, entry[cuts[k] : cuts[k + 1]], ids, wanted, longest)
+                over = s >= bars[at + k]
+                yield pd.DataFrame({"query_rep": reps[at + k], "vec_id": i[over], "score": s[over]})
+
+
 def distinct_vectors(vectors: DataFrame, keep: int) -> DataFrame:
     """(embedding, ids): each distinct vector with its ``keep`` smallest ids, ascending; copies are thinned before the shuffle."""
 
@@ -187,9 +227,27 @@ def neighbours(vectors: DataFrame, is_query, wanted: int = 20, trees: int = TREE
             yield from search_slice(pd.concat(frames, ignore_index=True), longest, wanted + 1, inner, candidates)
 
     dealt = rows.repartitionByRange(slices, "tree", "size", "string", "rep").sortWithinPartitions("tree", "size", "string", "rep")
-    found = dealt.mapInPandas(search, RESULT).groupBy("query_rep", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_rep").orderBy(F.desc("score"), "vec_id")
-    top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= wanted + 1)
+
+    def kept(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query_rep", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("place", F.row_number().over(best)).where(F.col("place") <= wanted + 1)
+
+    routed = stored(kept(dealt.mapInPandas(search, RESULT)))
+    bars = routed.where(F.col("place") == wanted + 1).select(F.col("query_rep").alias("rep"), F.col("score").alias("bar"))
+    barred = stored(questions.join(bars, "rep", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf")))))
+    sized = lambda df: df.select(F.size("embedding").alias("size"), "embedding", "rep", "ids", "bar")
+    blocks = packed(sized(entries.withColumn("bar", F.lit(0.0))), max(LEAST_BLOCKS, -(-n // BLOCK_ROWS)))
+    asking = packed(sized(barred), max(LEAST_BLOCKS, -(-barred.count() // BLOCK_QUERIES)))
+    # a product of partitions, read where they are stored: neither side is shuffled or broadcast
+    asking = asking.select("size", F.col("x").alias("q"), "rep", "bar").hint("shuffle_replicate_nl")
+    cells = blocks.select("size", "x", "n_ids", "ids").join(asking, "size")
+
+    def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from scan(batch, longest, wanted + 1)
+
+    top = kept(routed.drop("place").union(cells.mapInPandas(complete, RESULT)))
     lists = top.groupBy("query_rep").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
     others = asked.select("query_id", "query_rep").join(lists, "query_rep").select("query_id", F.slice(F.filter("found", lambda f: f.vec_id != F.col("query_id")), 1, wanted).alias("found"))
     return others.select("query_id", F.posexplode("found").alias("k", "f")).select("query_id", (F.col("k") + 1).alias("rank"), "f.vec_id", "f.score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from importscape.llm import neighbours
@@ -44,3 +45,15 @@ def test_prefix_candidates_hold_enough_and_the_deepest():
     forest = neighbours.Forest(x, range(3))
     for found in forest.candidates(neighbours.pointed(rng.normal(size=(20, 6))), 40):
         assert 14 <= len(found) <= 500  # forty entries of three trees
+
+
+@pytest.mark.parametrize("n", [1000, 4000, 12000])
+def test_all_neighbours_are_found_without_structure_at_any_size(spark, n, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 1500)
+    x = np.random.default_rng(6).normal(size=(n, 64)).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = search(spark, rows, 20, candidates=100, slice_rows=800)
+    score = x[::20].astype(float) @ x.T.astype(float)
+    score[np.arange(len(score)), np.arange(0, n, 20)] = -np.inf
+    wanted = np.argsort(-score, axis=1)[:, :20]
+    assert [(a, c) for a, _, c, _ in got] == [(20 * k, int(c)) for k, near in enumerate(wanted) for c in near]
