@@ -1,0 +1,141 @@
+"""Near duplicates by the Jaccard similarity of word shingles: banded MinHash, then exact sets.
+
+Two texts link if the sets of their ``WORDS``-word shingles have a Jaccard similarity
+of at least ``SIMILARITY``; a group is a connected component of the links. Words are
+those of ``simhash``: lower case A-Z, split at ASCII white space.
+
+Equal sets are one node. A node's ``BANDS`` keys each hash ``ROWS`` of its minimum
+hashes, and nodes that share a key meet: two texts at a similarity of 0.8 miss each
+other in all bands with a probability of 6e-6, more alike ones less often. What meets is
+verified on the sets. First each node of a bucket is held against the bucket's least
+node, which joins even large groups in a number of pairs in proportion to their size;
+then the buckets whose nodes are still in different groups are gathered with their sets,
+and all pairs across those groups are. So no link among nodes that meet is lost; but such
+a bucket is one task's work, and the pairs of unlike nodes in it grow with its square.
+
+Defined results: null, empty and blank texts have the empty set and are equal; a text
+of fewer words has one shingle, its whole sequence; each row of a repeated document
+gets its row; extra columns are ignored by ``groups``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import hinted, stored
+from .components import components
+from .hashing import mixed
+from .simhash import first_of_each, shingle_hashes
+
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 6
+#: Nodes to verify that may be broadcast (8 bytes each); beyond it they are shuffled.
+BROADCAST_NODES = 500_000
+_random = np.random.default_rng(5)
+FACTORS = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+OFFSETS = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+WEIGHTS = _random.integers(0, 1 << 63, (BANDS, ROWS + 1), dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(text, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(text if isinstance(text, str) else None, words))
+
+
+def node(hashes: np.ndarray) -> int:
+    """A 64-bit name of a set of hashes; zero for the empty one."""
+    if not len(hashes):
+        return 0
+    with np.errstate(over="ignore"):
+        return int(mixed(mixed(hashes).sum(keepdims=True) + np.uint64(len(hashes))).view(np.int64)[0])
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set that is not empty."""
+    low, least = mixed(hashes).astype(np.uint32), np.full(len(FACTORS), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 512):
+        np.minimum(least, (low[None, at : at + 512] * FACTORS + OFFSETS).min(1), out=least)
+    sums = (least.reshape(BANDS, ROWS).astype(np.uint64) * WEIGHTS[:, :ROWS]).sum(1) + WEIGHTS[:, ROWS]
+    return mixed(sums).view(np.int64)
+
+
+def named(docs: DataFrame, words: int, what: str) -> DataFrame:
+    """(doc_id, node) of every row of docs, with its keys (array) or its set (binary) as ``what`` says."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.text]
+            more = [(band_keys(s) if len(s) else np.zeros(0, np.int64)) if what == "keys" else s.tobytes() for s in sets]
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "node": np.array([node(s) for s in sets], np.int64), what: more})
+
+    kind = {"keys": "array<long>", "set": "binary"}[what]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, f"doc_id long, node long, {what} {kind}")
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def joined_in(bucket: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Edges between the groups (label) of a bucket's nodes; pairs that are in one group by then are not held against each other."""
+    sets, nodes, found = [np.frombuffer(s, np.uint64) for s in bucket["set"]], bucket.u.tolist(), []
+    labels = bucket.label.to_numpy().copy()
+    for i in range(len(nodes)):
+        for j in range(i):
+            if labels[i] != labels[j] and similar(sets[i], sets[j], similarity):
+                found.append((nodes[i], nodes[j]))
+                labels[labels == labels[i]] = labels[j]
+    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough. sets: node, set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) for a, b in zip(batch.a, batch.b, strict=True)]
+            yield batch.loc[np.array(keep, bool), ["u", "v"]]
+
+    of = lambda end, name: sets.select(F.col("node").alias(end), F.col("set").alias(name))
+    return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): edges that connect just what links among nodes that meet connect. nodes: node, keys."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = stored(keyed.groupBy("key").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1).select("nodes").distinct())
+    members = buckets.select(F.array_min("nodes").alias("v"), F.explode("nodes").alias("u"), "nodes")
+    pairs = stored(members.where("u != v").select("u", "v").distinct())
+    met = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    known = named(docs, words, "set").join(hinted(met, met.count(), BROADCAST_NODES), "node", "left_semi")
+    sets = stored(known.groupBy("node").agg(F.first("set").alias("set")))
+    stars = stored(verified(pairs, sets, similarity))
+    roots = stored(components(stars))
+    label = F.coalesce("root", "u").alias("label")
+    placed = members.select(F.xxhash64("nodes").alias("at"), "u").join(roots.withColumnRenamed("node", "u"), "u", "left").select("at", "u", label)
+    several = placed.groupBy("at").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("at")
+    apart = placed.join(several, "at", "left_semi").distinct().join(sets.withColumnRenamed("node", "u"), "u")
+    rest = apart.groupBy("at").applyInPandas(lambda bucket: joined_in(bucket, similarity), "u long, v long")
+    return stars.union(rest)
+
+
+def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, node, component_id) for every row of docs; component_id is the smallest doc_id of its group, null where none has an id."""
+    prints = stored(named(docs, words, "keys"))
+    distinct = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")))
+    roots = stored(components(links(docs, distinct.select("node", "keys"), words, similarity)))
+    joined = distinct.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints.select("doc_id", "node").join(joined.join(least, "root").select("node", "component_id"), "node")
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without the rows whose group has a smaller doc_id; otherwise as ``simhash.first_of_each`` says."""
+    return first_of_each(docs, groups(docs, words, similarity))

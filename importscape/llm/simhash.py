@@ -35,19 +35,27 @@ BROADCAST_IDS = 500_000
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Of a text's word shingles; zero without words; one shingle if there are fewer words than that."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Of a text's word shingles, in their order; none without words, one if there are fewer words than that."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     n = max(len(tokens) - words + 1, 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Of a text's word shingles; zero without words."""
+    hashes = shingle_hashes(text, words)
+    n = len(hashes)
+    if not n:
+        return 0
     by_byte = hashes.view(np.uint8).reshape(n, 8)
     ones = np.concatenate([np.bincount(by_byte[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
@@ -165,14 +173,19 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return prints.join(named, "bits")
 
 
-def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """docs without the rows whose group has a smaller doc_id; one row stays of rows that share an id.
 
-    Rows without an id cannot stand for a group and are kept as they are.
+    grouped: doc_id, component_id. Rows without an id cannot stand for a group and are kept as they are.
     """
-    found = stored(groups(docs, words).select("doc_id", "component_id"))
+    found = stored(grouped.select("doc_id", "component_id"))
     dropped = found.where("doc_id > component_id").select("doc_id").distinct()
     kept = docs.join(hinted(dropped, dropped.count(), BROADCAST_IDS), "doc_id", "left_anti")
     if found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
         return kept.select(docs.columns)
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null")).select(docs.columns)
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs without the rows whose group has a smaller doc_id, as ``first_of_each`` says."""
+    return first_of_each(docs, groups(docs, words))

@@ -1,0 +1,64 @@
+import itertools
+import random
+
+import corpus_pipeline
+from importscape.llm import near
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def groups_by_force(texts):
+    sets, parent = {i: shingles(t or "") for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+            m, n = sorted((root(a), root(b)))
+            parent[n] = m
+    return {i: root(i) for i in texts}
+
+
+def made():
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(5000)}"
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(r.randint(60, 400))]
+        texts.append(base)
+        for _ in range(6):  # chains of copies with some words changed, around the limit
+            base = list(base if r.random() < 0.5 else texts[-1])
+            for _ in range(max(1, len(base) * r.choice([1, 2, 3]) // 150)):
+                base[r.randrange(len(base))] = word()
+            texts.append(base)
+    r.shuffle(texts)
+    texts = [" ".join(t) for t in texts] + ["", None, "one two", "ONE  two", " "]
+    return dict(enumerate(texts, 1))
+
+
+def test_groups_against_brute_force(documents):
+    texts = made()
+    wanted = groups_by_force(texts)
+    assert 10 < len(set(wanted.values())) < 0.8 * len(texts)
+    assert {r.doc_id: r.component_id for r in near.groups(documents(list(texts.items()))).collect()} == wanted
+
+
+def test_stage_removes_near_copies(spark, documents, sf_dir):
+    texts = made()
+    kept = corpus_pipeline.one_of_each_group(spark, documents(list(texts.items())), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups_by_force(texts).values()))
+
+
+def test_odd_rows(odd, documents):
+    kept = near.deduplicated(odd)
+    assert kept.columns == odd.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(None) == 2 and sorted(i for i in ids if i is not None) == [1, 3, 5, 6, 7]
+    assert near.groups(documents([])).count() == 0
