@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 class Tree:
-    """Burkhard-Keller tree over 64-bit numbers; children are keyed by their distance to the parent."""
+    """Burkhard-Keller tree over numbers of any width; children are keyed by their distance to the parent."""
 
     def __init__(self) -> None:
         self.values: list[int] = []
@@ -105,6 +105,28 @@ class Tree:
         return found
 
 
+    def put(self, value: int) -> None:
+        """Inserts a value without a search."""
+        k = 0
+        while self.values and (e := (self.values[k] ^ value).bit_count()) in self.children[k]:
+            k = self.children[k][e]
+        if self.values:
+            self.children[k][e] = len(self.values)
+        self.values.append(value)
+        self.children.append({})
+
+    def near(self, value: int, radius: int) -> bool:
+        """Whether any value lies within the radius; the search ends at the first it finds."""
+        stack = [0] if self.values else []
+        while stack:
+            k = stack.pop()
+            d = (self.values[k] ^ value).bit_count()
+            if d <= radius:
+                return True
+            stack += [c for e, c in self.children[k].items() if d - radius <= e <= d + radius]
+        return False
+
+
 def shard_edges(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """A star for each component of distinct signed values: (value, least of its component)."""
     tree, parent = Tree(), list(range(len(values)))

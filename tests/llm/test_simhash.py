@@ -58,9 +58,25 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def groups_of_rows(rows):
+    """By force: (doc_id, component_id) of rows (doc_id, text)."""
+    prints = [(r.doc_id, simhash.signed(plain(r.text))) for r in rows]
+    roots = groups_by_force({v for _, v in prints})
+    least = {}
+    for i, v in prints:
+        if i is not None:
+            least[roots[v]] = min(i, least.get(roots[v], i))
+    return {(i, least.get(roots[v])) for i, v in prints}
+
+
+def test_groups_of_whole_documents_against_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert {(r.doc_id, r.component_id) for r in simhash.groups(docs).collect()} == groups_of_rows(docs.collect())
+
+
 def test_groups_and_what_stays(odd, documents):
     found = {(r.doc_id, r.component_id) for r in simhash.groups(odd).collect()}
-    assert found == {(1, 1), (2, 1), (None, 1), (None, None), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7)} or {(4, 3), (2, 1), (1, 1)} <= found
+    assert found == groups_of_rows(odd.select("doc_id", "text").collect())
     kept = simhash.deduplicated(odd)
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
