@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from importscape.llm import decontaminate, mixing, near, queries, token_store, toxicity
+from importscape.llm import decontaminate, mixing, queries, simhash_wide, token_store, toxicity
 from importscape.llm.common import table
 from importscape.session import ship
 
@@ -22,9 +22,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that shares 80 % of its five-word shingles."""
+    """The document with the smallest id of each group of SimHash near duplicates that share 80 % of their five-word shingles."""
     ship(spark)
-    return near.deduplicated(docs)
+    return simhash_wide.deduplicated(docs, words=5, similarity=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("toxicity", not_toxic),
-    ("near_dedup", one_of_each_group),
+    ("simhash_near_dedup", one_of_each_group),
     ("decontamination", without_benchmark),
     ("mixing", mixed_sources),
     ("token_output", token_shards),
