@@ -47,28 +47,51 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("analyzer", "severity").agg(F.count("*").alias("n_findings"))
 
 
+def envelope(nodes: DataFrame, edges: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """One row on a run: how many findings there are in all, how many analyzers ran and failed, and the errors (array of name: message)."""
+    found, errors = run(nodes, edges, names)
+    n = len(names or ANALYZERS)
+    counted = (found if found is not None else nodes.limit(0)).agg(F.count("*").alias("total_findings"))
+    listed = F.array(*[F.lit(f"{k}: {v}") for k, v in sorted(errors.items())]).cast("array<string>")
+    return counted.select("total_findings", F.lit(n - len(errors)).cast("long").alias("analyzers_run"), F.lit(len(errors)).cast("long").alias("analyzers_failed"), listed.alias("errors"))
+
+
 # Ours: layers, costs and efforts of cuts. Two strategies are known behaviour (10, trivial; 35, low); the rest is a default.
 LAYERS = {"Helper": 0, "Other": 2, "Service": 3, "Component": 4, "Module": 5}
 STRATEGIES = {"type_only_import": (10, "trivial"), "architectural_inversion": (35, "low"), "extract_shared": (60, "medium")}
 
 
 def cut_advice(cycles: DataFrame, nodes: DataFrame, used: DataFrame, type_names: DataFrame) -> DataFrame:
-    """(source, target, strategy, cut_cost, effort, cycles_eliminated): for each cycle its cheapest edge.
+    """For each cycle its cheapest edge: (source, target, strategy, cut_cost, effort, cycles_eliminated, symbols_involved, suggested_leaf, rationale, actionable_steps).
 
     cycles: cycle (array). used: source, target, symbol, usage. type_names: target,
     symbol of interfaces and aliases. An edge is type_only_import if all its symbols
     are only typed and are such names; else architectural_inversion if it leads to a
-    higher layer; else extract_shared. Ties go to the smaller (source, target).
+    higher layer; else extract_shared. Ties go to the smaller (source, target). The
+    words of rationale and steps are ours.
     """
     size = F.size("cycle")
     steps = cycles.withColumn("id", F.xxhash64("cycle")).select("id", F.explode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(F.get("cycle", i).alias("source"), F.get("cycle", (i + 1) % size).alias("target")))).alias("e")).select("id", "e.*")
-    marked = used.join(type_names.withColumn("is_type", F.lit(True)), ["target", "symbol"], "left")
-    typed = marked.groupBy("source", "target").agg(F.bool_and(F.startswith("usage", F.lit("typed(")) & F.coalesce("is_type", F.lit(False))).alias("only_types"))
+    marked = used.join(type_names.distinct().withColumn("is_type", F.lit(True)), ["target", "symbol"], "left")
+    only_types = F.bool_and(F.startswith("usage", F.lit("typed(")) & F.coalesce("is_type", F.lit(False)))
+    typed = marked.groupBy("source", "target").agg(only_types.alias("only_types"), F.sort_array(F.collect_set("symbol")).alias("symbols"))
     layer = F.coalesce(F.create_map(*[F.lit(x) for pair in LAYERS.items() for x in pair])[F.col("node_type")], F.lit(2))
     levels = nodes.select("path", layer.alias("layer"))
     edges = steps.join(typed, ["source", "target"], "left").join(levels.toDF("source", "from_layer"), "source").join(levels.toDF("target", "to_layer"), "target")
     strategy = F.when(F.coalesce("only_types", F.lit(False)), "type_only_import").when(F.col("from_layer") < F.col("to_layer"), "architectural_inversion").otherwise("extract_shared")
-    cost = F.create_map(*[F.lit(x) for k, (c, _) in STRATEGIES.items() for x in (k, c)])
-    effort = F.create_map(*[F.lit(x) for k, (_, e) in STRATEGIES.items() for x in (k, e)])
-    best = edges.withColumn("strategy", strategy).groupBy("id").agg(F.min(F.struct(cost[F.col("strategy")].alias("cut_cost"), "source", "target", "strategy")).alias("b"))
-    return best.groupBy("b.source", "b.target", "b.strategy", "b.cut_cost").agg(F.count("*").alias("cycles_eliminated")).withColumn("effort", effort[F.col("strategy")])
+    of = lambda k: F.create_map(*[F.lit(x) for name, values in STRATEGIES.items() for x in (name, values[k])])[F.col("strategy")]
+    symbols = F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols_involved")
+    priced = edges.withColumn("strategy", strategy).withColumn("cut_cost", of(0))
+    best = priced.groupBy("id").agg(F.min(F.struct("cut_cost", "source", "target", "strategy", symbols, "from_layer", "to_layer")).alias("b"))
+    cuts = best.groupBy("b.source", "b.target", "b.strategy", "b.cut_cost", "b.symbols_involved", "b.from_layer", "b.to_layer").agg(F.count("*").alias("cycles_eliminated")).withColumn("effort", of(1))
+    names = F.array_join("symbols_involved", ", ")
+    named, typed_only, upward = F.col("strategy"), F.lit("type_only_import"), F.lit("architectural_inversion")
+    stem = F.regexp_replace("target", r"\.(ts|tsx|js|jsx)\z", "")
+    leaf = F.when(named == typed_only, F.concat(stem, F.lit(".types.ts"))).otherwise(F.concat(F.regexp_replace("target", r"[^/]*\z", ""), F.substring_index(F.substring_index("target", "/", -1), ".", 1), F.lit(".shared.ts")))
+    why = F.when(named == typed_only, F.format_string("%s uses nothing but types (%s) of %s", "source", names, "target")).when(
+        named == upward, F.format_string("%s, on layer %d, imports %s, on the higher layer %d", "source", "from_layer", "target", "to_layer")
+    ).otherwise(F.format_string("%s and %s need each other on one layer or downwards", "source", "target"))
+    todo = F.when(named == typed_only, F.array(F.format_string("in %s, import type { %s } from %s", "source", names, "target"))).when(
+        named == upward, F.array(F.format_string("move what both need into %s", leaf), F.format_string("hand %s to %s as an argument", "target", "source"))
+    ).otherwise(F.array(F.format_string("move what both need into %s", leaf)))
+    return cuts.withColumns({"suggested_leaf": leaf, "rationale": why, "actionable_steps": todo}).drop("from_layer", "to_layer")

@@ -58,10 +58,47 @@ def impact_sets(edges: DataFrame, target: str) -> DataFrame:
     return parts[0].union(parts[1]).union(direct.where(F.col("path") != target))
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(path): files that reach themselves, a file that imports itself among them."""
-    trimmed = trimmed_to_cycles(edges)
-    return closure(trimmed, trimmed.select(F.col("source").alias("path"))).where("seed = path").select("path")
+def on_cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS, steps: int = 4) -> DataFrame:
+    """(path, component): files that reach themselves, a file that imports itself among them, by strongly connected component.
+
+    A file holds two labels: the greatest file that reaches it, and the greatest that it
+    reaches. Where they are equal, it is in that file's component; such files leave, and
+    the rest goes on among edges whose ends agree in both labels, since a component never
+    lies across others. So a file costs two labels a round, not all that it reaches.
+    ``steps`` hops run between two writes. Running out of rounds raises.
+    """
+    pairs = stored(edges.select("source", "target").distinct())
+    loops = pairs.where("source = target").select(F.col("source").alias("path"), F.col("source").alias("component"))
+    rest, found = trimmed_to_cycles(pairs.where("source != target")), None
+    for _ in range(most_rounds):
+        if rest.isEmpty():
+            break
+        ends = rest.select(F.explode(F.array("source", "target")).alias("path")).distinct()
+        state = stored(ends.select("path", F.col("path").alias("from"), F.col("path").alias("to")))
+        for _ in range(most_rounds):
+            grown = state.withColumn("moved", F.lit(False))
+            for _ in range(steps):
+                forth = rest.join(grown.select(F.col("path").alias("source"), "from"), "source").select(F.col("target").alias("path"), "from", F.lit("").alias("to"))
+                back = rest.join(grown.select(F.col("path").alias("target"), "to"), "target").select(F.col("source").alias("path"), F.lit("").alias("from"), "to")
+                sent = forth.union(back).groupBy("path").agg(F.max("from").alias("f"), F.max("to").alias("t"))
+                joined = grown.join(sent, "path")  # every file here has both kinds of edges
+                grown = joined.select("path", F.greatest("from", "f").alias("from"), F.greatest("to", "t").alias("to"), ((F.col("f") > F.col("from")) | (F.col("t") > F.col("to"))).alias("moved"))
+            grown = stored(grown)
+            state = grown.drop("moved")
+            if grown.where("moved").isEmpty():  # the last hop changed nothing
+                break
+        else:
+            raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+        whole = state.where(F.col("from") == F.col("to")).select("path", F.col("from").alias("component"))
+        found = whole if found is None else found.union(whole)
+        left = state.where(F.col("from") != F.col("to"))
+        of = lambda end: left.select(F.col("path").alias(end), F.struct("from", "to").alias(f"{end}_labels"))
+        rest = trimmed_to_cycles(rest.join(of("source"), "source").join(of("target"), "target").where("source_labels = target_labels").select("source", "target"))
+    else:
+        raise RuntimeError(f"components were not found in {most_rounds} rounds")
+    if found is None:
+        return loops
+    return loops.join(found, "path", "left_anti").union(found)
 
 
 def trimmed_to_cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
@@ -118,16 +155,21 @@ def boundary_lists(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("boundary").agg(F.first("barrel").alias("barrel"), F.sort_array(F.collect_list("path")).alias("files"))
 
 
-def guarded_links(spark: SparkSession, proposals: DataFrame, most: int = 10_000) -> DataFrame:
-    """(op_seq, source, target, kind, accepted): proposals in order; an inferential one that closes a cycle is refused.
+def guarded_links(spark: SparkSession, proposals: DataFrame, edges: DataFrame | None = None, most: int = 1000) -> DataFrame:
+    """(op_seq, source, target, kind, accepted): proposals in order; an inferential one that closes a cycle, with edges (source, target) that are there or were accepted, is refused.
 
-    Each decision depends on those before it, so this runs on the driver, over at
-    most ``most`` proposals; more raise.
+    Each decision depends on those before it, so they are made on the driver, over at
+    most ``most`` proposals; more raise. Of the edges only which ends of proposals reach
+    which comes there, at most the square of that.
     """
     rows = proposals.select("op_seq", "source", "target", "kind").orderBy("op_seq").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} proposals")
     after: dict[str, set[str]] = {}
+    if edges is not None:
+        ends = stored(proposals.select(F.explode(F.array("source", "target")).alias("path")).distinct())
+        for r in closure(edges, ends).join(F.broadcast(ends), "path", "left_semi").collect():  # 2 * most ends
+            after.setdefault(r.seed, set()).add(r.path)
 
     def reaches(a: str, b: str) -> bool:
         seen, todo = {a}, [a]

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import code, paths
 
 
+#: Fixed value: why an import that an alias fits is not resolved.
+ALIAS_MISSED = "alias_candidate_not_found"
+
+
 @dataclass(frozen=True)
 class Alias:
     """An alias of the configuration: an exact name, or a prefix whose rest is appended to the base."""
@@ -41,12 +45,31 @@ def alias_bases(raw: Column, rules: list[Alias]) -> Column:
     made = []
     for r in ordered(rules):
         if r.wildcard:
-            made.append(F.when(F.startswith(raw, F.lit(r.pattern)), F.concat(F.lit(r.target.rstrip("/") + "/"), F.substr(raw, F.lit(len(r.pattern) + 1)))))
+            rest = F.substr(raw, F.lit(len(r.pattern) + 1))
+            # an absolute rest stands for itself
+            joined = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit(r.target.rstrip("/") + "/" if r.target else ""), rest))
+            made.append(F.when(F.startswith(raw, F.lit(r.pattern)), paths.normalized(joined)))
         else:
             made.append(F.when(raw == r.pattern, F.lit(r.target)))
     return F.array_distinct(F.filter(F.array(*made), lambda m: m.isNotNull()))
 
 
+def targets(files: DataFrame) -> DataFrame:
+    """(base, choice, candidate): for every path that an import may name, the file it means, and the place of that in ``paths.candidates``.
+
+    A file answers to its own path, to its path without the extension and, if it is an
+    index, to its folder, so that an import is joined once and not once a candidate.
+    """
+    path = F.col("path")
+    named = [F.struct(path.alias("base"), F.lit(0).alias("choice"))]
+    for n, ending in enumerate([*paths.EXTENSIONS, *(f"/index{e}" for e in paths.EXTENSIONS)], 1):
+        base = F.substr(path, F.lit(1), F.length(path) - len(ending))
+        # a base with an extension stands for itself alone
+        named.append(F.when(F.endswith(path, F.lit(ending)) & (base != "") & ~paths.has_extension(base), F.struct(base.alias("base"), F.lit(n).alias("choice"))))
+    known = files.where("path != ''").select("path", F.explode(F.filter(F.array(*named), lambda n: n.isNotNull())).alias("n"))
+    return known.groupBy("n.base").agg(F.min(F.struct("n.choice", F.col("path").alias("candidate"))).alias("hit")).select("base", "hit.choice", "hit.candidate")
+
+
 def classified(found: DataFrame, files: DataFrame, rules: list[Alias] | None = None) -> DataFrame:
     """occurrences with kind (resolved, unresolved, external), target, method, attempted and reason.
 
@@ -56,18 +79,22 @@ def classified(found: DataFrame, files: DataFrame, rules: list[Alias] | None = N
     raw = F.col("raw_import")
     relative = F.startswith(raw, F.lit("."))
     bases = F.when(relative, F.array(paths.normalized(paths.resolved("path", raw)))).otherwise(alias_bases(raw, rules or []))
-    tried = found.withColumn("relative", relative).withColumn("attempted", F.array_distinct(F.flatten(F.transform(bases, lambda b: paths.candidates(b)))))
-    each = tried.select("*", F.posexplode_outer("attempted").alias("choice", "candidate"))
-    known = files.select(F.col("path").alias("candidate"), F.lit(True).alias("known")).distinct()
-    joined = each.join(known, "candidate", "left")
-    keys = ["path", "pos", "raw_import", "statement", "import_nature", "relative", "attempted"]
-    first = joined.groupBy(*keys).agg(F.min(F.when(F.col("known"), F.struct("choice", "candidate"))).alias("hit"))
-    has_alias = F.size("attempted") > 0
-    kind = F.when(F.col("hit").isNotNull(), "resolved").when(F.col("relative") | has_alias, "unresolved").otherwise("external")
-    return first.select(
-        "path", "pos", "raw_import", "statement", "import_nature", kind.alias("kind"), F.col("hit.candidate").alias("target"),
-        F.when(F.col("hit.choice") > 0, "extension_match").when(F.col("hit").isNotNull(), "exact_match").alias("method"),
-        "attempted", F.when((kind == "unresolved") & ~F.col("relative"), "alias_prefix_matched_but_no_file").alias("reason"),
+    tried = found.withColumn("relative", relative).withColumn("bases", bases)
+    known = targets(files)
+    if rules:  # several bases for one import: the first with a file counts
+        keys = ["path", "pos"]
+        each = tried.select(*keys, F.posexplode("bases").alias("turn", "base")).join(known, "base")
+        first = each.groupBy(*keys).agg(F.min(F.struct("turn", "choice", "candidate")).alias("hit")).select(*keys, "hit.choice", "hit.candidate")
+        hits = tried.join(first, keys, "left")
+    else:
+        hits = tried.withColumn("base", F.get("bases", F.lit(0))).join(known, "base", "left")
+    hit, has_alias = F.col("candidate").isNotNull(), F.size("bases") > 0
+    kind = F.when(hit, "resolved").when(F.col("relative") | has_alias, "unresolved").otherwise("external")
+    return hits.select(
+        "path", "pos", "raw_import", "statement", "import_nature", kind.alias("kind"), F.col("candidate").alias("target"),
+        F.when(F.col("choice") > 0, "extension_match").when(hit, "exact_match").alias("method"),
+        F.array_distinct(F.flatten(F.transform("bases", lambda b: paths.candidates(b)))).alias("attempted"),
+        F.when((kind == "unresolved") & ~F.col("relative"), ALIAS_MISSED).alias("reason"),
     )
 
 
@@ -99,7 +126,15 @@ def edge_resolution(resolved: DataFrame, sure: float = 0.95) -> DataFrame:
 
 
 def usages(resolved: DataFrame, sources: DataFrame, kinds=code.usage) -> DataFrame:
-    """(source, target, symbol, usage): how importers use what they import."""
-    named = resolved.where("kind = 'resolved'").select(F.col("path").alias("source"), "target", F.explode(code.imported_symbols("statement")).alias("symbol")).distinct()
-    joined = named.join(sources.select(F.col("path").alias("source"), "content"), "source")
-    return joined.select("source", "target", "symbol", kinds("symbol", "content").alias("usage")).where("usage is not null")
+    """(source, target, symbol, usage): how importers use what they import. A file's text travels once, with all its symbols."""
+    symbol = F.explode(code.imported_symbols("statement")).alias("symbol")
+    named = resolved.where("kind = 'resolved'").select(F.col("path").alias("source"), "target", symbol)
+    listed = named.groupBy("source").agg(F.collect_set(F.struct("target", "symbol")).alias("symbols"))
+    joined = listed.join(sources.select(F.col("path").alias("source"), "content"), "source")
+    used = joined.select("source", F.explode(F.transform("symbols", lambda s: F.struct(s.target.alias("target"), s.symbol.alias("symbol"), kinds(s.symbol, F.col("content")).alias("usage")))).alias("u"))
+    return used.select("source", "u.target", "u.symbol", "u.usage").where("usage is not null")
+
+
+def usage_lines(used: DataFrame) -> DataFrame:
+    """(target, line): who uses what of a file, as ``importer -> usage(symbol)``."""
+    return used.select("target", F.concat_ws(" -> ", "source", "usage").alias("line")).distinct()

@@ -8,28 +8,11 @@ from pyspark.sql import functions as F
 BLOCK = 50
 SUFFIXES = {0: ".service", 1: ".component", 2: ".routes", 3: ".util", 4: ".spec"}
 
-#: A graph with two strongly connected parts of four files, four simple cycles and three files that nothing uses.
-SMALL_EDGES = [
-    ("src/main.ts", "src/app/shell.component.ts"),
-    ("src/main.ts", "src/app/shell.routes.ts"),
-    ("src/app/shell.spec.ts", "src/app/shell.component.ts"),
-    ("src/core/account.model.ts", "src/core/account.service.ts"),
-    ("src/core/account.service.ts", "src/core/account.model.ts"),
-    ("src/core/account.service.ts", "src/core/store.service.ts"),
-    ("src/core/store.service.ts", "src/core/worker.ts"),
-    ("src/core/worker.ts", "src/core/account.service.ts"),
-    ("src/lib/p.ts", "src/lib/q.ts"),
-    ("src/lib/p.ts", "src/lib/r.ts"),
-    ("src/lib/q.ts", "src/lib/s.ts"),
-    ("src/lib/r.ts", "src/lib/s.ts"),
-    ("src/lib/s.ts", "src/lib/p.ts"),
-    ("src/lib/hub.ts", "src/core/admin.model.ts"),
-    ("src/lib/hub.ts", "src/core/worker.ts"),
-    ("src/lib/hub.ts", "src/core/account.service.ts"),
-    ("src/lib/hub.ts", "src/lib/p.ts"),
-    ("src/lib/hub.ts", "src/lib/q.ts"),
-]
-SMALL_FILES = sorted({p for e in SMALL_EDGES for p in e} | {"src/lib/old-hash.ts", "src/core/unused-schema.ts"})
+#: The small graph: nation k imports nation (a * k + b) mod 25 for each (m, c, a, b) with k mod m = c. It has three
+#: strongly connected parts, six simple cycles and six files that nothing imports.
+SMALL_RULES = ((2, 0, 10, 17), (2, 0, 6, 19), (3, 1, 11, 18))
+SMALL_SUFFIXES = {0: ".service", 1: ".component", 2: ".module", 4: ".util"}
+SMALL_NAMES = {8: "main", 24: "server"}
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,22 +24,53 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("k", base.alias("base")).select("k", "base", F.concat("base", F.lit(".ts")).alias("path"), F.when(k.isin(5, 6), "./").otherwise("../").alias("up"))
 
 
+def types(k) -> F.Column:
+    """Declarations of a module: an interface, which but for every fifth extends that of the module before, and an alias with more."""
+    said = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    parent = F.when(k % 5 != 0, said(" extends S", k - 1)).otherwise("")
+    body = said(" {\n  id: number;\n  readonly size", k % 7, "?: string;\n  owner: { name: string; tag", k % 3, ": string };\n  [key: string]: unknown;\n  load(at: number): void;\n}\n")
+    return said("export interface S", k, parent, body, "export type A", k, " = S", k, " & { note?: string };\nexport type P", k, " = Partial<A", k, ">;\n")
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content) of the generated modules; each imports up to three modules of its block of fifty."""
+    """(path, content) of the generated modules; each imports up to three modules of its block of fifty, uses them and declares types."""
     k, made = F.col("k"), modules(spark, sf_dir)
     target = lambda i: (F.floor(k / BLOCK) * BLOCK + (k % BLOCK * 3 + 17 * i + 1) % BLOCK).cast("long")
     wanted = made.select("*", F.explode(F.filter(F.array(*[F.lit(i) for i in (1, 2, 3)]), lambda i: i <= k % 4)).alias("i")).withColumn("t", target(F.col("i")))
     named = wanted.join(made.select(F.col("k").alias("t"), F.col("base").alias("to")), "t")
     raw, name = F.concat("up", F.substr("to", F.lit(5))), F.concat(F.lit("T"), F.col("t"))
     text = F.when(F.col("i") == 1, F.concat(F.lit("import {"), name, F.lit("} from '"), raw, F.lit("';\n"))).when(F.col("i") == 2, F.concat(F.lit("import type {\n  "), name, F.lit("\n} from \""), raw, F.lit("\";\n"))).otherwise(F.concat(F.lit("export * from '"), raw, F.lit("';\n")))
-    lines = named.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", text.alias("x")))), lambda s: s.x), "").alias("lines"))
+    # what the first import brings in is called, made or typed, by k; what the second does is typed
+    made_of = F.when(k % 3 == 0, F.concat(name, F.lit("();\n"))).when(k % 3 == 1, F.concat(F.lit("new "), name, F.lit("();\n"))).otherwise(F.concat(F.lit("let a: "), name, F.lit(";\n")))
+    use = F.when(F.col("i") == 1, made_of).when(F.col("i") == 2, F.concat(F.lit("let b: "), name, F.lit(";\n"))).otherwise("")
+    lines = named.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", text.alias("x")))), lambda s: s.x), "").alias("lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", use.alias("x")))), lambda s: s.x), "").alias("uses"))
     extra = F.concat(F.when(k % 3 == 0, "import { Kit } from '@vendor/kit';\n").otherwise(""), F.when(k % 5 == 0, F.concat(F.lit("import './missing"), k, F.lit("';\n"))).otherwise(""))
-    content = F.concat(F.lit("// import { Gone } from './gone';\n"), F.coalesce("lines", F.lit("")), extra, F.lit("export class T"), k, F.lit(" {}\n"))
+    content = F.concat(F.lit("// import { Gone } from './gone';\n"), F.coalesce("lines", F.lit("")), extra, F.lit("export class T"), k, F.lit(" {}\n"), F.coalesce("uses", F.lit("")), types(k))
     return made.join(lines, "k", "left").select("path", content.alias("content"))
 
 
-def small_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame([(p,) for p in SMALL_FILES], "path string"), spark.createDataFrame(SMALL_EDGES, "source string, target string")
+def small_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, path, raw): one module for each nation, in the folder of its region; raw is how others import it."""
+    k = F.col("k")
+    name = F.concat(F.lit("n"), k, F.coalesce(F.create_map(*[F.lit(x) for p in SMALL_SUFFIXES.items() for x in p])[(k % 5).cast("int")], F.lit("")))
+    for n, given in SMALL_NAMES.items():
+        name = F.when(k == n, given).otherwise(name)
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"), F.concat(F.lit("z"), F.col("n_regionkey"), F.lit("/")).alias("folder"))
+    return nations.select("k", F.concat(F.lit("src/"), "folder", name, F.lit(".ts")).alias("path"), F.concat(F.lit("../"), "folder", name).alias("raw"))
+
+
+def small_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of the small graph; an import is called, typed or made as (k + t) mod 3 says."""
+    made, k, t = small_modules(spark, sf_dir), F.col("k"), F.col("t")
+    rules = F.array(*[F.struct(F.lit(i).alias("i"), F.when(k % m == c, (a * k + b) % 25).alias("t")) for i, (m, c, a, b) in enumerate(SMALL_RULES)])
+    wanted = made.select("k", F.explode(rules).alias("r")).select("k", "r.i", "r.t").where("t is not null and t <> k").join(made.select(F.col("k").alias("t"), "raw"), "t")
+    name, kind = F.concat(F.lit("N"), t), (k + t) % 3
+    line = F.concat(F.lit("import { "), name, F.lit(" } from '"), F.col("raw"), F.lit("';\n"))
+    use = F.when(kind == 0, F.concat(name, F.lit("();\n"))).when(kind == 1, F.concat(F.lit("let v: "), name, F.lit(";\n"))).otherwise(F.concat(F.lit("new "), name, F.lit("();\n")))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", c.alias("x")))), lambda s: s.x), "")
+    lines = wanted.groupBy("k").agg(joined(line).alias("lines"), joined(use).alias("uses"))
+    own = F.when(k % 2 == 0, F.concat(F.lit("export interface N"), k, F.lit(" { id: number }\n"))).otherwise(F.concat(F.lit("export class N"), k, F.lit(" {}\n")))
+    return made.join(lines, "k", "left").select("path", F.concat(F.coalesce("lines", F.lit("")), F.coalesce("uses", F.lit("")), own).alias("content"))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:

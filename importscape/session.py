@@ -8,7 +8,7 @@ import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
@@ -33,9 +33,21 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
 
 
-def stored(df):
-    """Computes df once into the shared checkpoint folder; set for tests where the session names none."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir; on one machine alone it may be unset, on a cluster that raises."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        named = os.path.join(tempfile.gettempdir(), "checkpoints")
+        os.makedirs(named, exist_ok=True)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Computes df once into the shared folder: later reads survive the loss of any executor."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

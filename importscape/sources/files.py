@@ -9,7 +9,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import code, paths
 from ..operators.imports import Alias
 
 MANIFEST = "path string, size long, mtime_ns long, ctime_ns long"
@@ -68,18 +68,12 @@ def from_snapshot(snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sources, kept.select("path", "pos", "raw_import", F.lit("").alias("statement"), F.lit("runtime").alias("import_nature"))
 
 
-def plain_json(text: str):
-    text = re.sub(r"/\*.*?\*/", "", text, flags=re.S)
-    text = re.sub(r"^(\s*)//.*", r"\1", text, flags=re.M)
-    return json.loads(re.sub(r",(\s*[}\]])", r"\1", text))
-
-
 def alias_rules(configs: dict[str, str]) -> list[Alias]:
     """The aliases of configurations (path -> text), in the order given; what is no JSON is skipped."""
     rules: list[Alias] = []
     for path, text in configs.items():
         try:
-            options = plain_json(text).get("compilerOptions") or {}
+            options = json.loads(code.plain_json(text)).get("compilerOptions") or {}
         except (ValueError, AttributeError):
             continue
         base = os.path.normpath(os.path.join(os.path.dirname(path) or ".", options.get("baseUrl") or "."))
@@ -92,16 +86,22 @@ def alias_rules(configs: dict[str, str]) -> list[Alias]:
     return rules
 
 
+def config_folders(root: str) -> list[str]:
+    """Where aliases of a tree may be configured: its root, the folders above it, up to the working folder for a relative root, and that folder."""
+    folder = os.path.normpath(root or ".")
+    found = [folder]
+    while folder not in (".", os.path.dirname(folder)):
+        folder = os.path.dirname(folder) or "."
+        found.append(folder)
+    return list(dict.fromkeys([*found, "."]))
+
+
 def find_aliases(root: str = ".") -> list[Alias]:
-    """The aliases of a local tree: of root, the folders above it and the working folder; a few files on the driver."""
-    folders, folder = [], os.path.abspath(root)
-    while folder not in folders:
-        folders.append(folder)
-        folder = os.path.dirname(folder)
+    """The aliases of a local tree; a few files on the driver."""
     configs: dict[str, str] = {}
-    for folder in [*folders, os.path.abspath(".")]:
+    for folder in config_folders(root):
         for name in CONFIGS:
-            path = os.path.relpath(os.path.join(folder, name))
+            path = os.path.normpath(os.path.join(folder, name))
             if path not in configs and os.path.isfile(path):
                 with open(path, encoding="utf-8", errors="ignore") as f:
                     configs[path] = f.read()
@@ -118,3 +118,18 @@ def read_topology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """(nodes, edges) of a topology document."""
     whole = spark.read.option("multiLine", True).json(path)
     return whole.select(F.explode("nodes").alias("n")).select("n.*"), whole.select(F.explode("edges").alias("e")).select("e.*")
+
+
+def write_document(spark: SparkSession, document: dict[str, DataFrame], facts: dict, out: str, most_rows: int = 200_000) -> None:
+    """One JSON document of a graph that is small enough for the driver: facts, then each frame as a list; more rows raise.
+
+    Frames of larger graphs go to ``write_graph``.
+    """
+    whole = dict(facts)
+    for name, frame in document.items():
+        rows = frame.drop("content").limit(most_rows + 1).collect()
+        if len(rows) > most_rows:
+            raise ValueError(f"{name} has more than {most_rows} rows")
+        whole[name] = [r.asDict(recursive=True) for r in rows]
+    with open(out, "w", encoding="utf-8") as f:
+        json.dump(whole, f, indent=2, ensure_ascii=False)

@@ -57,20 +57,36 @@ def test_comments_go_also_inside_strings(spark):
 
 def test_imported_symbols(spark):
     cases = {
-        "import { Injectable, Optional } from ": ["Injectable", "Optional"], "import base, { Part as Comp } from ": ["Comp", "base"], "import * as utils from ": ["utils"],
-        "import type { Admin } from ": ["Admin"], "import ": [],
+        "import { Wheel, Axle } from ": ["Wheel", "Axle"], "import chassis, { Motor as Engine } from ": ["Engine", "chassis"], "import * as tyres from ": ["tyres"],
+        "import type { Gear } from ": ["Gear"], "import ": [],
     }
     for given, wanted in cases.items():
         assert one(spark, code.imported_symbols("s"), s=given) == wanted
 
 
 def test_usage_takes_the_strongest(spark):
-    text = "@Deco()\nclass A extends Base { u!: Data; f() { Comp(); ns.go(); return new Made(); } }"
-    cases = {"Deco": "decorator(Deco)", "Made": "instantiated(Made)", "Data": "typed(Data)", "Comp": "called(Comp)", "ns": "namespace_access(ns)", "Base": "inherited(Base)", "x y": None, "Nope": None}
+    text = "@Mark()\nclass Car extends Frame implements Moves { load!: Cargo; drive() { Spark(); road.go(); return new Trip(); } }\nlet l: Promise<Late>; <View />; <Cast>l;"
+    cases = {"Mark": "decorator(Mark)", "Trip": "instantiated(Trip)", "Cargo": "typed(Cargo)", "Spark": "called(Spark)", "road": "namespace_access(road)", "Frame": "inherited(Frame)", "Moves": "inherited(Moves)", "Late": "typed(Late)", "View": "jsx_component(View)", "Cast": "typed(Cast)", "x y": None, "Nope": None}
     for symbol, wanted in cases.items():
         assert one(spark, code.usage("s", F.lit(text)), s=symbol) == wanted
-    assert one(spark, code.basic_usage("s", F.lit(text)), s="Base") is None
+    assert one(spark, code.basic_usage("s", F.lit(text)), s="Frame") is None
+
+
+def test_rules_that_generated_files_do_not_reach(spark):
+    kinds = {"a/main.server.ts": "ssr_bootstrap", "entry.server.js": "ssr_bootstrap", "entry.client.ts": "browser_bootstrap", "x/bootstrap.ts": "app_bootstrap", "main.tsx": "none"}
+    for path, kind in kinds.items():
+        assert one(spark, paths.entrypoint("p"), p=path).kind == kind
+    by_text = {"@Injectable() class A {}": "Service", "@Component({}) class A {}": "Component", "class A {}": "Other"}
+    for text, kind in by_text.items():
+        assert one(spark, paths.node_type("p", F.lit(text)), p="src/a.ts") == kind
+    assert one(spark, paths.node_type("p", F.lit("")), p="src/my-helper.ts") == "Helper"
+    assert one(spark, paths.topology_type("p"), p="src/utils/a.ts") == "Helper"
 
 
 def test_jsonc(spark):
     assert one(spark, code.without_jsonc_extras("s"), s='{ /* x */\n // y\n "a": [1,],\n}').split() == ["{", '"a":', "[1]", "}"]
+
+
+def test_jsonc_on_the_driver_is_the_same(spark):
+    text = '// a\n// b\n{ "u": "http://x", /* y\n */ "a": [1, 2, ],\n  // z\n}'
+    assert code.plain_json(text) == one(spark, code.without_jsonc_extras("s"), s=text)

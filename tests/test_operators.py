@@ -4,7 +4,6 @@ import pytest
 
 from importscape.operators import analyzers, graph, imports, shapes
 from importscape.plans import graph as plans
-from importscape.plans import queries
 from importscape.sources import files
 from importscape.streaming import incremental
 
@@ -44,22 +43,128 @@ def test_closure_raises_rather_than_cuts(spark):
 
 def test_bodies(spark):
     assert shapes.body_properties(" a: { b: string; c?: number }; readonly d: Map<x, y>; [k: string]: z; get: 1; f(x: number, y: string): void ") == {"a", "a.b", "a.c", "d", "f"}
-    assert shapes.body_properties("'q': 1, r: '}', s: `{`") == {"r", "s"}
+    assert shapes.body_properties("'q': 1, r: '}', s: `{` ") == {"r", "s"}
     assert shapes.closing_brace("{ '}' { } }", 0) == 10 and shapes.closing_brace("{ {", 0) == -1
 
 
+SHAPED = [
+    ("s.ts", "export interface Crate { id: number; owner: { name: string; tags: string[] } }\nexport class Shop {}\n"),
+    ("p.ts", "import type { Crate } from './s';\nexport type Marked = Crate & { note?: string };\nexport type Loose = Partial<Marked>;\n"),
+    ("t.ts", "export interface Wide extends Marked, Crate {\n  [key: string]: unknown;\n  readonly size: number;\n  load(): Promise<void>;\n}\n"),
+]
+
+
 def test_shapes_inherit_across_files(spark):
-    found = dict((n, p) for _, n, p in rows(queries.type_shapes(spark, "")))
-    assert found["Row"] == "id,owner,owner.name,owner.tags"
-    assert found["Extra"] == "id,note,owner,owner.name,owner.tags"
-    assert found["Loose"] == found["Extra"]
-    # what another file lends is what that file knows by itself: Extra as declared there
+    found = {n: ",".join(p) for _, n, p in rows(shapes.type_shapes(spark.createDataFrame(SHAPED, "path string, content string")))}
+    assert found["Crate"] == "id,owner,owner.name,owner.tags"
+    assert found["Marked"] == "id,note,owner,owner.name,owner.tags"
+    assert found["Loose"] == found["Marked"]
+    # what another file lends is what that file knows by itself: Marked as declared there
     assert found["Wide"] == "id,load,note,owner,owner.name,owner.tags,size"
 
 
-def test_guard_refuses_only_inferential_cycles(spark):
-    found = {r.op_seq: r.accepted for r in queries.cycle_guard(spark, "").collect()}
-    assert found == {1: True, 2: True, 3: False, 4: True, 5: True}
+def test_parents():
+    told = {
+        "type T = A & B & C": ["A", "C"], "type T = A | string | C": ["A", "C"], "type T = Omit<A, 'x'> & Pick<B, 'y'>": ["A", "B"], "type T<X> = { k: B | C | D }": ["C"],
+        "interface T extends B<C>, D": ["BC", "D"], "interface T<X extends Y>": ["Y"], "type T = A;": ["A"], "type T = A = B": ["B"], "type T = () => A": [],
+    }
+    for text, wanted in told.items():
+        assert shapes.declarations(text + (" {}" if text.startswith("interface") else ""))["T"][1] == wanted, text
+
+
+def test_a_string_at_the_end_of_a_body_leaves_its_member_open():
+    assert shapes.body_properties("a: 1; b: 'x'") == {"a"} and shapes.body_properties("a: 1; b: 'x' ") == {"a", "b"}
+
+
+def test_guard_sees_edges_that_are_there(spark):
+    asked = spark.createDataFrame([(1, "A", "B", "inferential"), (2, "B", "C", "inferential"), (3, "C", "A", "inferential"), (4, "C", "A", "related"), (5, "C", "D", "inferential"), (6, "D", "E", "inferential")], "op_seq int, source string, target string, kind string")
+    accepted = lambda edges: {r.op_seq: r.accepted for r in graph.guarded_links(spark, asked, edges).collect()}
+    assert accepted(None) == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True}
+    there = spark.createDataFrame([("E", "X"), ("X", "B")], "source string, target string")
+    assert accepted(there) == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False}
+    with pytest.raises(ValueError):
+        graph.guarded_links(spark, asked, None, most=3)
+
+
+def test_components_against_force(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        edges = {(f"v{r.randrange(30)}", f"v{r.randrange(30)}") for _ in range(45)}
+        after = {}
+        for a, b in edges:
+            after.setdefault(a, set()).add(b)
+        reach = {}
+        for v in {x for e in edges for x in e}:
+            seen, todo = set(), list(after.get(v, ()))
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += after.get(x, ())
+            reach[v] = seen
+        wanted = sorted((v, max(w for w in reach if w in reach[v] and v in reach[w])) for v in reach if v in reach[v])
+        assert rows(graph.on_cycles(spark.createDataFrame(sorted(edges), "source string, target string")).select("path", "component")) == wanted
+    assert rows(graph.on_cycles(spark.createDataFrame([("a", "b")], "source string, target string"))) == []
+
+
+def test_walks_left_at_the_bound_are_reported(spark):
+    ring = spark.createDataFrame([(f"v{i}", f"v{(i + 1) % 5}") for i in range(5)], "source string, target string")
+    assert graph.simple_cycles(ring, 5)[0].count() == 1 and not graph.simple_cycles(ring, 5)[1]
+    found, left = graph.simple_cycles(ring, 3)
+    assert found.count() == 0 and left
+
+
+def test_alias_targets_are_normalized_and_misses_have_a_reason(spark):
+    files_ = spark.createDataFrame([("src/x.ts", ""), ("src/app/y/index.tsx", ""), ("m.ts", "import a from '@app/../x'; import b from '@app/y'; import c from '@app/no'; import d from './src/x'; import e from './src/nothing.js'; import f from 'kit'")], "path string, content string")
+    g = plans.build(files_, [imports.Alias("@app/", "src/app", "t.json", True)])
+    found = {r.raw_import: (r.kind, r.target, r.reason) for r in g.resolved.collect()}
+    assert found == {
+        "@app/../x": ("resolved", "src/x.ts", None), "@app/y": ("resolved", "src/app/y/index.tsx", None), "@app/no": ("unresolved", None, "alias_candidate_not_found"),
+        "./src/x": ("resolved", "src/x.ts", None), "./src/nothing.js": ("unresolved", None, None), "kit": ("external", None, None),
+    }
+
+
+def test_the_first_candidate_counts(spark):
+    names = ["a", "a.tsx", "a.ts", "a/index.ts", "b.js", "b.js.ts", "b.js/index.ts", "c/index.jsx", "c/index.js", "d.ts.ts"]
+    sources = spark.createDataFrame([(n, "") for n in names] + [("m.ts", "import './a'; import './b.js'; import './c'; import './d.ts'; import './c/index'")], "path string, content string")
+    assert [r.target for r in plans.build(sources).resolved.orderBy("pos").collect()] == ["a", "b.js", "c/index.js", None, "c/index.js"]
+
+
+def test_folders_of_configurations():
+    assert files.config_folders("a/b") == ["a/b", "a", "."] and files.config_folders(".") == ["."]
+    assert files.config_folders("/x/y") == ["/x/y", "/x", "/", "."]
+
+
+def test_where_shared_work_is_kept(spark, monkeypatch):
+    from importscape import session
+
+    class Elsewhere:
+        master = "spark://h:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Elsewhere()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+    assert session.shared_dir(spark)
+
+
+def test_document(spark, tmp_path):
+    g = plans.build(spark.createDataFrame([("a.ts", "import './b'; import 'kit'"), ("b.ts", "export interface B { x: number }"), ("c.ts", None)], "path string, content string"))
+    frames, facts = plans.document(g)
+    files.write_document(spark, frames, facts, str(tmp_path / "g.json"))
+    whole = json.loads((tmp_path / "g.json").read_text())
+    assert whole["schema_version"] == plans.SCHEMA_VERSION and [v["path"] for v in whole["vertices"]] == ["a.ts", "b.ts", "c.ts"]
+    assert whole["edges"] == [{"source": "a.ts", "target": "b.ts", "import_nature": "runtime"}] and whole["type_shapes"][0]["props"] == ["x"]
+    assert plans.diagnostics(g).first().skipped_files == 1 and plans.runtime(spark).first().version == spark.version
+    with pytest.raises(ValueError):
+        files.write_document(spark, frames, facts, str(tmp_path / "h.json"), most_rows=2)
 
 
 def test_signature_ignores_order_and_sees_changes(spark):
@@ -112,3 +217,5 @@ def test_a_failing_analyzer_is_reported(spark, monkeypatch):
     g = plans.build(spark.createDataFrame([("main.ts", "")], "path string, content string"))
     found, errors = analyzers.run(g.nodes, g.edges)
     assert found.count() == 1 and "ZeroDivisionError" in errors["bad"]
+    whole = analyzers.envelope(g.nodes, g.edges).first()
+    assert (whole.total_findings, whole.analyzers_run, whole.analyzers_failed) == (1, 2, 1) and whole.errors[0].startswith("bad: ZeroDivisionError")
