@@ -42,7 +42,7 @@ MAGIC = b"SSTTOK01"
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 BLOCK_BYTES = 1 << 18
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 900_000
 #: White space of str.split() beyond the four characters at which every pre-tokenizer splits.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 PLAIN_SPACE = re.compile("[ \t\n\r]+")
