@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, stored
+from .common import fresh_dir, looked_up, stored
 
 CONTROL = re.compile(r"\\|###|</turn>")
 ESCAPED = re.compile(r"\\(\\|###|</turn>)")
@@ -112,7 +112,7 @@ def write(turns: DataFrame, out_dir: str | None = None) -> str:
 
     # each path once: where its nodes are, then, for the nodes that it is the first to hold, what they attend to
     walks = distinct.join(ranked, "leaf").select("leaf", F.col("rank").alias("walk"), F.explode("nodes.name").alias("name"))
-    spots = walks.join(placed.select("name", "start", "length", "depth", "rank"), "name").groupBy("leaf", "walk").agg(F.array_sort(F.collect_list(F.struct("depth", "start", "length", "rank"))).alias("spots"))
+    spots = looked_up(walks, placed.select("name", "start", "length", "depth", "rank"), "name").groupBy("leaf", "walk").agg(F.array_sort(F.collect_list(F.struct("depth", "start", "length", "rank"))).alias("spots"))
     spots = stored(spots)
 
     def attending(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +132,7 @@ def write(turns: DataFrame, out_dir: str | None = None) -> str:
     attends = spots.select("walk", "spots").mapInPandas(attending, "start long, attends array<struct<from:long,to:long>>")
     placed.join(attends, "start").select("start", "length", "position", "role", "formatted", "loss_from", "loss_to", "attends").write.parquet(f"{out}/nodes")
     lists = spots.select("leaf", F.transform("spots", lambda s: s.start).alias("starts"))
-    convs.select("conv_id", "leaf").join(lists, "leaf").select("conv_id", "starts").write.parquet(f"{out}/conversations")
+    looked_up(convs.select("conv_id", "leaf"), lists, "leaf").select("conv_id", "starts").write.parquet(f"{out}/conversations")
     return out
 
 
@@ -156,4 +156,4 @@ def read(spark, out: str) -> DataFrame:
     paths = convs.groupBy("leaf").agg(F.first("starts").alias("starts")).select("leaf", F.explode("starts").alias("start"))
     parts = paths.join(nodes, "start").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("position", "formatted", "loss_from", "loss_to"))).alias("parts"))
     digests = parts.mapInPandas(run, "leaf long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return convs.select("conv_id", "leaf").join(digests, "leaf").drop("leaf")
+    return looked_up(convs.select("conv_id", "leaf"), digests, "leaf").drop("leaf")

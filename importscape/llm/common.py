@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from ..session import shared_dir, stored
 
+__all__ = ["file_system", "fresh_dir", "hinted", "looked_up", "shared_dir", "stored", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows of one key from which it is joined apart, and keys that may be: a share of all rows that only so many keys can hold.
+HOT_ROWS, HOT_KEYS = 1000, 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, else one on this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = LOCAL_CHECKPOINTS
-        os.makedirs(named, exist_ok=True)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
@@ -32,17 +24,27 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Computes df once, reliably: later reads survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def hinted(df: DataFrame, rows: int, most: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the bound; else unchanged, so that it is shuffled."""
     return F.broadcast(df) if rows <= most else df
 
 
+def looked_up(rows: DataFrame, values: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with values, which holds each key once; a key that very many rows share is not one task's work.
+
+    Keys of more than ``HOT_ROWS`` rows and of more than one in ``HOT_KEYS`` of all rows
+    are counted before anything is shuffled; at most ``HOT_KEYS`` can be so. Their values
+    are broadcast and their rows stay where they are. Null keys match nothing.
+    """
+    counts = stored(rows.groupBy(key).agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > HOT_ROWS))
+    if counts.isEmpty():
+        return rows.join(values, key, how)
+    least = rows.count() / HOT_KEYS
+    hot = F.broadcast(counts.where(F.col("hot_rows") > least).select(key).where(F.col(key).isNotNull()))  # HOT_KEYS rows at most
+    apart = rows.join(hot, key, "left_semi").join(F.broadcast(stored(values.join(hot, key, "left_semi"))), key, how)
+    return apart.unionByName(rows.join(hot, key, "left_anti").join(values, key, how))
+
+
 def file_system(uri: str):
     """pyarrow's file system and the path on it, for any scheme that executors may write to."""
     from pyarrow import fs

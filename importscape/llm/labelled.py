@@ -6,9 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Rows of each class that a model is fitted on, at most; taken in the order of a hash of the id.
 SAMPLE_PER_CLASS = 2500
 FOLDS = 5
+#: Bytes of text that a model is fitted on, at most; a row over what is left of them is passed over.
+FIT_BYTES = 48 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -16,8 +20,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("long").cast("string")), F.lit(FOLDS)) == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, y, text, lang) of at most per_class labelled, not held-out rows of each class, and the counts of the classes.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = FIT_BYTES) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, y, text, lang) of at most per_class labelled, not held-out rows of each class and most_bytes of text, and the counts of the classes.
 
     Null labels and ids are no labels; repeated label rows count once, and an id
     with both labels counts for the larger.
@@ -26,7 +30,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMP
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("y = 0").orderBy(order).limit(per_class).union(known.where("y = 1").orderBy(order).limit(per_class))
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id"), counts  # 2 * per_class rows at most
+    rows = stored(docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id"))  # 2 * per_class rows at most
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy(order).collect()
+    left, over = most_bytes, []
+    for r in sizes:
+        if r.n <= left:
+            left -= r.n
+        else:
+            over.append(r.doc_id)
+    return rows.where(~F.col("doc_id").isin(over)) if over else rows, counts
 
 
 def platt(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:

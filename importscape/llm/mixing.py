@@ -33,6 +33,8 @@ BLOCK_DOCS = 1000
 #: Sources whose counts may come to the driver; more raise an error.
 MOST_SOURCES = 100_000
 BROADCAST_BLOCKS = 100_000
+#: An epoch's order of blocks is cut into two to the power of this many stretches, at most.
+STRETCH_BITS = 10
 ADDED = ("epoch", "block", "at")
 
 
@@ -124,9 +126,16 @@ def mixed(docs: DataFrame, share_of_entropy: float = 0.97, most_repeats: float =
         return joined.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.col("mix_blocks")).cast("int"))
 
     blocks = blocked(small).groupBy("mix_source", "mix_tokens", "mix_budget", "mix_epochs", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    walked = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("mix_epochs") - 1)))
-    order = Window.partitionBy("mix_source", "epoch").orderBy(F.xxhash64(F.lit(seed), "mix_source", "epoch", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("epoch") * F.col("mix_tokens") + F.coalesce(F.sum("block_tokens").over(order), F.lit(0))
+    # where each block starts in its epoch's order: the order is cut into stretches, which are summed first, so that no task orders all blocks of a source
+    order = F.xxhash64(F.lit(seed), "mix_source", "epoch", "block")
+    walked = stored(blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("mix_epochs") - 1))).withColumn("order", order).withColumn("stretch", F.shiftright("order", 64 - STRETCH_BITS)))
+    before = Window.partitionBy("mix_source", "epoch").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    cut = ["mix_source", "epoch", "stretch"]
+    sums = walked.groupBy(cut).agg(F.sum("block_tokens").alias("s"))
+    stretches = sums.select(F.struct(cut).alias("cut"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(cut).orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    walked = walked.withColumn("inside", F.coalesce(F.sum("block_tokens").over(inside), F.lit(0))).withColumn("cut", F.struct(cut)).join(stretches, "cut").drop("cut")
+    start = F.col("epoch") * F.col("mix_tokens") + F.col("before") + F.col("inside")
     schedule = walked.withColumn("start", start).where("start < mix_budget or mix_tokens = 0")
     schedule = stored(schedule.select("mix_source", "block", "epoch", (F.col("mix_budget") - F.col("start")).alias("left"), F.coalesce(F.try_divide("start", "mix_budget"), F.lit(0.0)).alias("at"), (F.col("start") + F.col("block_tokens") > F.col("mix_budget")).alias("cut")))
     schedule = hinted(schedule.select(F.col("mix_source").alias("s"), F.col("block").alias("b"), "epoch", "left", "at", "cut"), schedule.count(), BROADCAST_BLOCKS)

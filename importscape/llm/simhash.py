@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, stored
+from .common import hinted, looked_up, stored
 from .components import components
 
 RADIUS, BITS, SEED, WORDS = 2, 64, 42, 3
@@ -192,7 +192,7 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     joined = distinct.join(nodes.withColumnRenamed("node", "bits"), "bits", "left").select("bits", F.coalesce("root", "bits").alias("root"), "first_id")
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = joined.join(least, "root").select("bits", "component_id")
-    return prints.join(named, "bits")
+    return looked_up(prints, named, "bits")  # copies share their bits
 
 
 def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:

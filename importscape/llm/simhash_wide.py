@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, stored
+from .common import hinted, looked_up, stored
 from .components import components
 from .hashing import buffers, mixed, span_hashes, spans
 from .simhash import Tree, first_of_each
@@ -320,7 +320,7 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     roots = stored(components(links(docs, distinct, words, similarity)))
     joined = distinct.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.select("doc_id", "node").join(joined.join(least, "root").select("node", "component_id"), "node")
+    return looked_up(prints.select("doc_id", "node"), looked_up(joined, least, "root").select("node", "component_id"), "node")
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

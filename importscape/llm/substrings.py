@@ -22,8 +22,8 @@ Exact copies are found by SHA-256 before that and take no part. Names are 64 bit
 wide: two given different strings meet with a chance of 2**-64.
 
 Entries travel in sorted, compressed blocks, one for each batch of documents and
-part of the rank space; parts are as many as twice spark.sql.shuffle.partitions, so
-a task holds its share of the ranks. A string that very many documents share is one
+part of the rank space; there is a part for every ``PART_BYTES`` of text, so that a task
+holds as much of the ranks however large the input is. A string that very many documents share is one
 run of equal ranks in one part, a few bytes for each of them.
 
 Defined results: null text is empty; texts under ``LENGTH`` bytes lose nothing; rows
@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, stored
+from .common import hinted, looked_up, stored
 from .hashing import buffers, mixed, span_hashes
 
 LENGTH, ANCHOR = 50, 24
@@ -50,6 +50,8 @@ PLACE_BITS = np.uint64(24)  # of a place in a buffer; longer texts are cut into
 BUFFER = 1 << 20
 #: Bytes of text that a task works on at a time.
 PORTION = 8 << 20
+#: Bytes of text for each part of the rank space, whose entries take about as many.
+PART_BYTES = 32 << 20
 #: Ids that may be broadcast to thin documents out before a shuffle.
 BROADCAST_IDS = 500_000
 COVERED, OPEN = 1, 2
@@ -354,11 +356,12 @@ def removed(docs: DataFrame) -> DataFrame:
     bytes; both are null where nothing, or all, is removed.
     """
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
     seen = stored(own.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
     least = seen.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("doc_id").alias("least_id"))
-    marked = stored(seen.join(least, "sha", "left"))
+    marked = stored(looked_up(seen, least, "sha", "left"))
+    n_bytes = seen.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
     copies = marked.where("doc_id > least_id").select("doc_id", "sha").distinct()
     originals = thinned(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)), copies, "left_anti")
     texts = seen.where("doc_id is not null").distinct().groupBy("doc_id").count()

@@ -12,16 +12,35 @@ def test_held_out_is_the_fifth(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
 
 
-def accuracy(spark, sf_dir, name, label):
-    got = spark.read.parquet(f"{sf_dir}/labels.parquet").join(queries.queries()[name](spark, sf_dir), "doc_id").where("held_out").collect()
-    hits = np.mean([r.predicted == r[label] for r in got])
-    assert all(0 <= r.score <= 1 for r in got) and {r[label] for r in got} == {0, 1}
-    return hits
-
-
-@pytest.mark.parametrize("name,label", [("op6_quality", "quality"), ("op9_toxicity", "toxic")])
-def test_held_out_accuracy(spark, name, label):
-    assert accuracy(spark, "/root/testdata/sf0.01", name, label) >= 0.95
+def measured(y, score, predicted):
+    """Area under the curve, recall and precision of label 1, over the accuracy of the commoner label."""
+    up, down = score[y == 1], score[y == 0]
+    order = np.argsort(np.concatenate([down, up]), kind="stable")
+    ranks = np.empty(len(order))
+    values = np.concatenate([down, up])
+    ranks[order] = np.arange(1, len(order) + 1)
+    for v in np.unique(values):  # ties share their ranks
+        ranks[values == v] = ranks[values == v].mean()
+    auc = (ranks[len(down) :].sum() - len(up) * (len(up) + 1) / 2) / (len(up) * len(down))
+    hits = ((predicted == 1) & (y == 1)).sum()
+    return auc, hits / (y == 1).sum(), hits / max((predicted == 1).sum(), 1)
+
+
+@pytest.mark.parametrize("name,label,least", [("op6_quality", "quality", (0.99, 0.95, 0.95)), ("op9_toxicity", "toxic", (0.97, 0.8, 0.9))])
+def test_held_out_rows(spark, name, label, least):
+    sf_dir = "/root/testdata/sf0.1"
+    got = spark.read.parquet(f"{sf_dir}/labels.parquet").join(queries.queries()[name](spark, sf_dir), "doc_id").where(f"held_out and {label} is not null").toPandas()
+    found = measured(got[label].to_numpy(), got.score.to_numpy(), got.predicted.to_numpy())
+    print(f"{name} on {len(got)} held-out rows of sf0.1: AUC {found[0]:.3f}, recall {found[1]:.3f}, precision {found[2]:.3f}")
+    assert got.score.between(0, 1).all() and all(f >= m for f, m in zip(found, least, strict=True))
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, documents):
+    docs = documents([(i, "x" * 100) for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows, counts = labelled.sample(docs, labels, "toxic", per_class=20)
+    assert rows.groupBy("y").count().where("count = 20").count() == 2 and sum(counts.values()) > 100
+    assert labelled.sample(docs, labels, "toxic", per_class=20, most_bytes=1050)[0].count() == 10
 
 
 def test_odd_rows_and_no_labels(spark, odd):
