@@ -16,7 +16,8 @@ set joins the clusters in which a search finds one within the radius, and stops
 it finds there, so a large group of near copies costs a few steps for each. What a cluster
 joins is then verified on the sets: each member against the cluster's least one, and, where
 members are still in different groups, those outside of the largest group against all, in
-blocks of ``BLOCK`` by ``BLOCK``. So no pair is emitted for members of one group, no task
+blocks of ``BLOCK`` by ``BLOCK``; clusters that share members over several tables are compared as
+one where that makes fewer rows. So no pair is emitted for members of one group, no task
 holds more than two blocks of sets, and no link between members of a cluster is lost.
 
 Defined results: null, empty and blank texts have the empty set and are equal; a text of
@@ -296,20 +297,33 @@ def links(docs: DataFrame, distinct: DataFrame, words: int, similarity: float, b
     sets = stored(named(again, words, "set").join(met, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
     stars = stored(verified(pairs, sets, similarity))
     roots = components(stars)
-    placed = stored(clusters.join(roots.withColumnRenamed("node", "u"), "u", "left").select("key", "v", "u", F.coalesce("root", "u").alias("label")))
+    hulls = components(pairs).withColumnRenamed("root", "hull").withColumnRenamed("node", "u")
+    placed = clusters.join(hulls, "u").join(roots.withColumnRenamed("node", "u"), "u", "left")
+    placed = stored(placed.select("key", "v", "u", "hull", F.coalesce("root", "u").alias("label")))
     # clusters of two are settled; of equal ones in several tables one is enough
     several = placed.groupBy("key", "v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u").cast("decimal(38,0)")).alias("name"), F.min("label").alias("least"), F.max("label").alias("most")).where("n > 2 and least != most")
     several = several.groupBy("v", "n", "name").agg(F.min("key").alias("key")).select("key", "v")
-    rest = stored(placed.join(several, ["key", "v"], "left_semi"))
-    sized = rest.groupBy("key", "v", "label").agg(F.count("*").alias("n")).groupBy("key", "v").agg(F.max(F.struct("n", "label")).alias("big"), F.sum("n").alias("n"))
-    sized = sized.select("key", "v", F.col("big.label").alias("big"), F.ceil(F.col("n") / block).alias("rows"), F.ceil((F.col("n") - F.col("big.n")) / block).alias("columns"))
-    cell = rest.join(sized, ["key", "v"])
+    apart = placed.join(several, ["key", "v"], "left_semi").select("hull", F.xxhash64("key", "v").alias("unit"), "u", "label")
+    whole = placed.join(apart.select("hull").distinct(), "hull", "left_semi").select("hull", F.xxhash64("hull").alias("unit"), "u", "label").distinct()
+
+    def sized(rows: DataFrame) -> DataFrame:
+        """Of each unit the largest group, into how many blocks all its members and those outside of that group go, and how many rows that makes."""
+        counts = rows.groupBy("hull", "unit", "label").agg(F.count("*").alias("n")).groupBy("hull", "unit").agg(F.max(F.struct("n", "label")).alias("big"), F.sum("n").alias("n"))
+        outside = F.col("n") - F.col("big.n")
+        cut = counts.select("hull", "unit", "n", outside.alias("outside"), F.col("big.label").alias("big"), F.ceil(F.col("n") / block).alias("rows"), F.ceil(outside / block).alias("columns"))
+        return stored(cut.withColumn("cost", F.col("n") * F.col("columns") + F.col("outside") * F.col("rows")))
+
+    # what clusters of several tables have in common is compared once, as one unit, where that makes fewer rows
+    by_cluster, by_hull = sized(apart), sized(whole)
+    together = by_hull.join(by_cluster.groupBy("hull").agg(F.sum("cost").alias("apart")), "hull").where("cost <= apart")
+    units = together.select("unit", "big", "rows", "columns").union(by_cluster.join(together.select("hull"), "hull", "left_anti").select("unit", "big", "rows", "columns"))
+    cell = looked_up(apart.union(whole).select("unit", "u", "label"), units, "unit")
     of = lambda count: F.pmod(F.xxhash64("u"), F.col(count))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     all_ = cell.withColumn("a", of("rows")).withColumn("b", every("columns")).withColumn("asks", F.lit(False))
     asking = cell.where("label != big").withColumn("a", every("rows")).withColumn("b", of("columns")).withColumn("asks", F.lit(True))
     # cells whose hashes clash are compared as one, which finds no less
-    cells = all_.union(asking).select(F.xxhash64("key", "v", "a", "b").alias("key"), "u", "label", "asks")
+    cells = all_.union(asking).select(F.xxhash64("unit", "a", "b").alias("key"), "u", "label", "asks")
     return stars.union(compared(cells.join(sets.withColumnRenamed("node", "u"), "u"), similarity))
 
 
