@@ -13,6 +13,11 @@ def test_template_reads_back(role):
     assert chat.parsed(text) == [(role, t) for t in HARD]
 
 
+def template_chars(role, text):
+    """Characters of ``### role: text </turn>`` and a newline, with a backslash before each control string."""
+    return len("### : ") + len(role) + sum(role.count(c) for c in "\\:") + len(text) + text.count("\\") + text.count("###") + text.count("</turn>") + len(" </turn>\n")
+
+
 def digests(turns):
     convs = {}
     for conv, turn, role, text in turns:
@@ -21,7 +26,7 @@ def digests(turns):
     for conv, rows in convs.items():
         rows = [(r, t) for _, _, r, t in sorted(rows, key=lambda x: (x[0], x[1] or 0, x[2], x[3]))]
         learned = "".join(t for r, t in rows if r == "assistant")
-        out[conv] = (len(rows), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in rows).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        out[conv] = (len(rows), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in rows).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), sum(template_chars(r, t) for r, t in rows))
     return out
 
 
@@ -30,7 +35,7 @@ def test_tree(spark, tmp_path):
     turns += [(50, 0, "user", None), (50, 0, None, "x"), (None, 1, "assistant", "no id"), (None, None, "user", "no turn"), (60, 0, "system", "shared")]
     df = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, start string").repartition(4)
     out = chat.write(df, str(tmp_path / "chat"))
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read(spark, out).collect()}
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in chat.read(spark, out).collect()}
     assert got == digests(turns)
 
     nodes = sorted(spark.read.parquet(f"{out}/nodes").collect(), key=lambda n: n.start)
@@ -53,5 +58,5 @@ def test_no_conversations(spark, tmp_path):
 def test_query(spark, sf_dir):
     turns = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     said = r"\### Assistant: </turn> ok"
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.queries()["op7_chat"](spark, sf_dir).collect()}
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in queries.queries()["op7_chat"](spark, sf_dir).collect()}
     assert got == digests([*turns, (-7, 0, "user", said), (-7, 1, "assistant", said)])

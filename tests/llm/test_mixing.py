@@ -57,3 +57,22 @@ def test_draws_do_not_depend_on_partitions(documents):
     rows = [(i, "w " * (i % 9), "en", f"s{i % 3}") for i in range(200)]
     a, b = (sorted(map(tuple, mixing.mixed(documents(rows, n), 1.0, 3.0, block_docs=10).select("doc_id", "epoch", "block", "at").collect())) for n in (1, 5))
     assert a == b
+
+
+@pytest.mark.parametrize("bits", [10, 1])
+def test_blocks_follow_each_other_without_gaps(documents, monkeypatch, bits):
+    """By force: a block starts where the blocks before it in its epoch end, however the order is cut into stretches."""
+    monkeypatch.setattr(mixing, "STRETCH_BITS", bits)
+    rows = mixing.mixed(corpus(documents), 1.0, 3.0, block_docs=20).select("doc_id", "source", "epoch", "block", "at", mixing.tokens(mixing.F.col("text")).alias("n")).collect()
+    sizes = Counter()
+    for r in {(r.doc_id, r.source, r.block, r.n) for r in rows}:
+        sizes[r[1], r[2]] += r[3]
+    totals = {s: sum(n for (o, _), n in sizes.items() if o == s) for s in ("big", "small")}
+    budgets = dict(zip(("big", "small"), mixing.plan([totals["big"], totals["small"]], 1.0, 3.0, None).budgets, strict=True))
+    for source, total in totals.items():
+        spots = sorted({(r.epoch, r.at, r.block) for r in rows if r.source == source})
+        for epoch in {e for e, _, _ in spots}:
+            start = epoch * total
+            for _, at, block in [x for x in spots if x[0] == epoch]:
+                assert at * budgets[source] == pytest.approx(start)
+                start += sizes[source, block]

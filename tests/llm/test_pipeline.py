@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -38,6 +39,19 @@ def test_odd_documents_pass_every_stage(spark, odd, tmp_path, sf_dir):
     assert corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).count() == odd.count()
 
 
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_one_after_the_other(spark, odd, documents, tmp_path, sf_dir, empty):
+    """On an empty table, and on odd rows: each stage reads what the one before it wrote."""
+    docs = documents([]) if empty else odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() == 0 if empty else docs.count() > 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
 def test_sql(spark, sf_dir):
     c = duckdb.connect()
     for f in os.listdir(sf_dir):
