@@ -42,7 +42,7 @@ MAGIC = b"SSTTOK01"
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 BLOCK_BYTES = 1 << 18
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_200_000
 #: White space of str.split() beyond the four characters at which every pre-tokenizer splits.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 PLAIN_SPACE = re.compile("[ \t\n\r]+")
@@ -53,13 +53,15 @@ class WordEncoder:
 
     Valid for vocabularies whose pre-tokenizer drops white space and never joins
     across it; ``test_token_store`` holds it against encoding of whole texts.
-    Words are kept in two generations of at most half of ``CACHE_WORDS``, so
+    Words are kept in two generations of at most half of ``cache_words``, so
     frequent ones stay when rare ones go.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.cache_words = cache_words
+
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.young: dict[str, bytes] = {}
@@ -82,7 +84,7 @@ class WordEncoder:
         split = [PLAIN_SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
         young = self.young
         if new := set().union(*split).difference(young):
-            if len(young) + len(new) > CACHE_WORDS // 2:
+            if len(young) + len(new) > self.cache_words // 2:
                 self.old, self.young = young, {}
                 new, young = set().union(*split), self.young
             old = self.old
@@ -111,8 +113,8 @@ def grouped(rows: Iterator[tuple], most_chars: int = 1 << 20) -> Iterator[list[t
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, cache_words: int) -> WordEncoder:
+    return WordEncoder(path, cache_words)
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -263,10 +265,10 @@ class ShardReader:
         return None
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out_dir: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out_dir: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Writes (doc_id, text) as shards and returns their manifest: shard, path, docs, tokens, start.
 
-    An id takes two bytes if the vocabulary allows, else four. The manifest has one
+    A worker remembers cache_words words at most, some 200 bytes each. An id takes two bytes if the vocabulary allows, else four. The manifest has one
     row a shard; ``start`` is the number of ids in the shards before it.
     """
     spark = docs.sparkSession
@@ -276,7 +278,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out_dir:
         from pyspark import TaskContext
 
         fs, base = file_system(out_dir)
-        writer, encode, task = None, encoder(tokenizer_path), TaskContext.get()
+        writer, encode, task = None, encoder(tokenizer_path, cache_words), TaskContext.get()
         name = f"{base}/shard-{task.partitionId():06d}.sst"
         temporary = f"{name}.{task.taskAttemptId()}.tmp"
         rows = ((None if pd.isna(d) else int(d), t if isinstance(t, str) else "") for batch in batches for d, t in zip(batch.doc_id.array, batch.text.array, strict=True))

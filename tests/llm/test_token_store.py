@@ -18,9 +18,8 @@ def test_words_encode_as_whole_texts_do():
     assert [[*map(int, i)] + [1] for i in token_store.WordEncoder(PATH)(texts)] == [whole(t) for t in texts]
 
 
-def test_forgetting_words_changes_nothing(monkeypatch):
-    monkeypatch.setattr(token_store, "CACHE_WORDS", 8)
-    e = token_store.WordEncoder(PATH)
+def test_forgetting_words_changes_nothing():
+    e = token_store.WordEncoder(PATH, cache_words=8)
     for t in ["a b c", "d e f g", "a b h i j", "a b c d e f g h i"]:
         assert [*map(int, e([t])[0]), 1] == whole(t)
 
