@@ -40,7 +40,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes token-id shards; one row a stored document, read back from them."""
     ship(spark)
-    manifest = token_store.write_shards(docs, queries.tokenizer_path("word_bpe_49k.json"), end_id=1)
+    # fewer words remembered than by default: the workers also hold what the stages before left in them
+    manifest = token_store.write_shards(docs, queries.tokenizer_path("word_bpe_49k.json"), end_id=1, cache_words=900_000)
     return token_store.read_shards(manifest)
 
 
