@@ -23,6 +23,14 @@ ENTRYPOINTS = (
     (r"^bootstrap\.(ts|js)$", "app_bootstrap", 0.80),
 )
 
+# What the topology view takes a path for, whatever its case; the first that fits counts.
+SHOWN_TYPES = (
+    (r"service\.ts\z", "Service"),
+    (r"(component\.ts|(\A|/)app\.ts)\z", "Component"),
+    (r"(module|routes?|config)(\.|/)", "Module"),
+    (r"(\A|/)(utils?|helpers?)(/|\z)", "Helper"),
+)
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -109,9 +117,7 @@ def node_type(path: Column | str, content: Column | str) -> Column:
 
 def topology_type(path: Column | str) -> Column:
     """The role that the topology view shows, by the path alone; it differs from ``node_type`` on purpose."""
-    path = _col(path)
-    rules = ((r"(?i)service\.ts\z", "Service"), (r"(?i)(component\.ts|(\A|/)app\.ts)\z", "Component"), (r"(?i)(module|routes?|config)(\.|/)", "Module"), (r"(?i)(\A|/)(utils?|helpers?)(/|\z)", "Helper"))
-    return first_of([(path.rlike(p), F.lit(kind)) for p, kind in rules], F.lit("Other"))
+    return first_of([(_col(path).rlike(f"(?i){p}"), F.lit(kind)) for p, kind in SHOWN_TYPES], F.lit("Other"))
 
 
 def relative_to(root: str, path: Column | str) -> Column:

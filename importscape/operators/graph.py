@@ -13,6 +13,8 @@ from ..session import stored
 
 #: Rounds after which an iteration raises instead of returning a part.
 MOST_ROUNDS = 200
+#: Hops of an iteration between two writes.
+STEPS = 4
 
 
 def fans(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -30,22 +32,32 @@ def neighbours(edges: DataFrame, path: str) -> DataFrame:
     return out.union(edges.where(F.col("target") == path).select(F.lit("imported_by"), "source")).distinct()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(seed, path, depth): all that is reachable over one or more edges, a seed itself only over a cycle.
+def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False, most_rounds: int = MOST_ROUNDS, steps: int = STEPS) -> DataFrame:
+    """(seed, path, depth): all that is reachable over one or more edges, a seed itself only over a cycle; depth is the fewest edges.
 
-    Semi-naive: each round joins only what the last one found, and drops what is
-    known. A round's rows are written to reliable storage, so plans stay short and
-    a lost executor costs no more than a round.
+    ``steps`` hops run between two writes, each from what the one before found; what is
+    known is dropped once for all of them. What is written lies in reliable storage, so
+    plans stay short and a lost executor costs no more than that.
     """
     pairs = edges.select("source", "target").distinct()
-    step = stored(pairs.select(F.col("target").alias("from"), F.col("source").alias("to")) if reverse else pairs.toDF("from", "to"))
-    found = frontier = stored(seeds.select(F.col("path").alias("seed")).distinct().join(step, F.col("seed") == F.col("from")).select("seed", F.col("to").alias("path"), F.lit(1).alias("depth")).distinct())
-    for depth in range(2, most_rounds + 2):
+    step = stored(pairs.select(F.col("target").alias("path"), F.col("source").alias("to")) if reverse else pairs.toDF("path", "to"))
+    frontier, found, depth = seeds.select(F.col("path").alias("seed"), "path").distinct(), None, 0
+    while depth <= most_rounds:
+        hops, hop, n = None, frontier, min(steps, most_rounds + 1 - depth)
+        for k in range(1, n + 1):
+            hop = hop.join(step, "path").select("seed", F.col("to").alias("path")).distinct()
+            reached = hop.withColumn("depth", F.lit(depth + k))
+            hops = reached if hops is None else hops.union(reached)
+        new = hops.groupBy("seed", "path").agg(F.min("depth").alias("depth"))
+        new = stored(new if found is None else new.join(found, ["seed", "path"], "left_anti"))
+        found = new if found is None else found.union(new)
+        depth += n
+        # what was found before the last hop has been followed already
+        frontier = new.where(F.col("depth") == depth).select("seed", "path")
         if frontier.isEmpty():
             return found
-        reached = frontier.select("seed", F.col("path").alias("from")).join(step, "from").select("seed", F.col("to").alias("path")).distinct()
-        frontier = stored(reached.join(found, ["seed", "path"], "left_anti").withColumn("depth", F.lit(depth)))
-        found = found.union(frontier) if depth % 8 else stored(found.union(frontier))
+        if depth % (8 * steps) == 0:
+            found = stored(found)
     raise RuntimeError(f"the closure is deeper than {most_rounds} rounds")
 
 
@@ -58,7 +70,7 @@ def impact_sets(edges: DataFrame, target: str) -> DataFrame:
     return parts[0].union(parts[1]).union(direct.where(F.col("path") != target))
 
 
-def on_cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS, steps: int = 4) -> DataFrame:
+def on_cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS, steps: int = STEPS) -> DataFrame:
     """(path, component): files that reach themselves, a file that imports itself among them, by strongly connected component.
 
     A file holds two labels: the greatest file that reaches it, and the greatest that it
@@ -101,12 +113,14 @@ def on_cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS, steps: int = 4)
     return loops.join(found, "path", "left_anti").union(found)
 
 
-def trimmed_to_cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def trimmed_to_cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS, steps: int = 2) -> DataFrame:
     """Edges left after repeatedly dropping those whose source nothing imports or whose target imports nothing."""
     rest = stored(edges.select("source", "target").distinct())
     size = rest.count()
     for _ in range(most_rounds):
-        kept = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        kept = rest
+        for _ in range(steps):
+            kept = kept.join(kept.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(kept.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
         kept = stored(kept.select("source", "target"))
         if (now := kept.count()) == size:
             return kept

@@ -35,11 +35,13 @@ def types(k) -> F.Column:
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of the generated modules; each imports up to three modules of its block of fifty, uses them and declares types."""
     k, made = F.col("k"), modules(spark, sf_dir)
-    target = lambda i: (F.floor(k / BLOCK) * BLOCK + (k % BLOCK * 3 + 17 * i + 1) % BLOCK).cast("long")
-    wanted = made.select("*", F.explode(F.filter(F.array(*[F.lit(i) for i in (1, 2, 3)]), lambda i: i <= k % 4)).alias("i")).withColumn("t", target(F.col("i")))
+    # a fourth import of some repeats the second, not for types alone
+    turn = F.when(F.col("i") == 4, 2).otherwise(F.col("i"))
+    target = (F.floor(k / BLOCK) * BLOCK + (k % BLOCK * 3 + 17 * turn + 1) % BLOCK).cast("long")
+    wanted = made.select("*", F.explode(F.filter(F.array(*[F.lit(i) for i in (1, 2, 3, 4)]), lambda i: (i <= k % 4) | (i == 4) & (k % 8 == 7))).alias("i")).withColumn("t", target)
     named = wanted.join(made.select(F.col("k").alias("t"), F.col("base").alias("to")), "t")
     raw, name = F.concat("up", F.substr("to", F.lit(5))), F.concat(F.lit("T"), F.col("t"))
-    text = F.when(F.col("i") == 1, F.concat(F.lit("import {"), name, F.lit("} from '"), raw, F.lit("';\n"))).when(F.col("i") == 2, F.concat(F.lit("import type {\n  "), name, F.lit("\n} from \""), raw, F.lit("\";\n"))).otherwise(F.concat(F.lit("export * from '"), raw, F.lit("';\n")))
+    text = F.when(F.col("i").isin(1, 4), F.concat(F.lit("import {"), name, F.lit("} from '"), raw, F.lit("';\n"))).when(F.col("i") == 2, F.concat(F.lit("import type {\n  "), name, F.lit("\n} from \""), raw, F.lit("\";\n"))).otherwise(F.concat(F.lit("export * from '"), raw, F.lit("';\n")))
     # what the first import brings in is called, made or typed, by k; what the second does is typed
     made_of = F.when(k % 3 == 0, F.concat(name, F.lit("();\n"))).when(k % 3 == 1, F.concat(F.lit("new "), name, F.lit("();\n"))).otherwise(F.concat(F.lit("let a: "), name, F.lit(";\n")))
     use = F.when(F.col("i") == 1, made_of).when(F.col("i") == 2, F.concat(F.lit("let b: "), name, F.lit(";\n"))).otherwise("")

@@ -19,7 +19,7 @@ m as (select p_partkey as k, case when p_partkey = 5 then 'src/main' when p_part
         else 'src/' || lower(p_type) || '/p' || p_partkey || case p_partkey % 10 when 0 then '.service' when 1 then '.component' when 2 then '.routes' when 3 then '.util' when 4 then '.spec' else '' end end as base from part),
 mods as (select k, base, base || '.ts' as path, case when k in (5, 6) then './' else '../' end as up from m),
 rel as (select a.k, i, b.k as t, a.path as source, b.path as target, a.up || substr(b.base, 5) as raw, case when i = 2 then 'type_only' else 'runtime' end as nature
-        from mods a join range(1, 4) r(i) on i <= a.k % 4 join mods b on b.k = 50 * (a.k // 50) + ((a.k % 50) * 3 + 17 * i + 1) % 50),
+        from mods a join range(1, 5) r(i) on i <= a.k % 4 or i = 4 and a.k % 8 = 7 join mods b on b.k = 50 * (a.k // 50) + ((a.k % 50) * 3 + 17 * case i when 4 then 2 else i end + 1) % 50),
 edges as (select source, target, case when bool_or(nature = 'runtime') then 'runtime' else 'type_only' end as import_nature from rel group by 1, 2),
 fans as (select path, (select count(*) from edges e where e.target = path) as fan_in, (select count(*) from edges e where e.source = path) as fan_out from mods)
 """
@@ -85,7 +85,7 @@ def oracle_sql() -> dict[str, str]:
     up, down = f"select distinct path from up where seed = {target}", f"select distinct seed as path from up where path = {target}"
     recursive, small = W.replace("with", "with recursive", 1), f"with recursive {SMALL}, {UP}, {WALKS}"
     return {
-        "import_occurrences": W + """, every as (select source as path, i as o, raw, nature from rel union all select path, 4, '@vendor/kit', 'runtime' from mods where k % 3 = 0 union all select path, 5, './missing' || k, 'runtime' from mods where k % 5 = 0)
+        "import_occurrences": W + """, every as (select source as path, i as o, raw, nature from rel union all select path, 5, '@vendor/kit', 'runtime' from mods where k % 3 = 0 union all select path, 6, './missing' || k, 'runtime' from mods where k % 5 = 0)
             select path, row_number() over (partition by path order by o) - 1 as pos, raw as raw_import, nature as import_nature from every""",
         "href_occurrences": """select page_id, cast(generate_subscripts(h, 1) - 1 as bigint) as pos, unnest(h) as href from (select page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) as h from pages)""",
         "resolved_edges": W + "select source, target from edges",
