@@ -1,30 +1,33 @@
-"""HTML extraction: page structure, then a suffix array over the pages of each host.
-
-Every page is read into blocks of text with their place: in the article, in what is
-never article (menus, headers, footers, sidebars, notices, adverts, forms, comments
-of readers, scripts, styles), or undecided, where the markup does not tell. Blocks
-of the article are kept and the second kind is dropped by structure alone.
-
-The tokens of undecided blocks, in pages that mark no article, are what repetition
-decides on. A host's pages are dealt to shards of bounded size; each concatenates its
-pages' token streams, sorts their suffixes by prefix doubling and counts, for every run
-of ``RUN`` tokens, the distinct pages that hold it. Counts of a host's shards are added
-up; runs on at least ``PAGES`` pages are boilerplate, and go back to the shards that hold
-them, where undecided blocks keep only the tokens that no such run covers.
-
-Repetition does not cut into marked articles: copies of an article on one host, and
-licence lines that many articles hold, repeat just like boilerplate and belong to
-the text, while menus and adverts may differ on every page.
+"""HTML extraction: a suffix array over the pages of each host, then a check by page structure.
+
+Every page is read into blocks of text, menus and footers included, with their place: in
+a marked article, outside of it (menus, headers, footers, sidebars, notices, adverts,
+forms, comments of readers, and all else on a page that marks an article), or open, where
+the markup does not tell. Scripts, styles and markup are no text.
+
+All tokens of all pages go through suffix arrays. Pages are taken in shards of bounded
+size; each shard's token streams are sorted by prefix doubling, hosts apart, which gives
+for every run of ``RUN`` tokens the distinct pages that hold it inside and outside of
+marked articles. Those counts, not texts, are shuffled and added up for each host. Runs on
+``PAGES`` pages or more are boilerplate, unless more of them hold it inside of an article.
+
+Then each page's tokens are looked up among its host's boilerplate runs, and covered
+tokens are removed. The check by structure follows, as copies of an article on one host,
+and licence lines of many articles, repeat just like boilerplate, while menus and adverts
+may differ on every page: what was removed from a marked article is restored, and what is
+left outside of it, or in an element that is never article, goes too. ``n_repeated`` and
+``n_restored`` tell how many tokens of a page repetition removed and the check gave back.
 
 Defined results: null or empty html gives empty text; a page without any element
 is one block; ties and repeated rows are separate pages of their host, so that a
 row's copies count as pages; a null url is a host of its own; extra columns are
-ignored; an empty table gives no rows.
+ignored; an empty table gives no rows. Runs are named by 52 bits of a hash.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -33,12 +36,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import looked_up, stored
+from .common import file_system, fresh_dir, stored
+from .hashing import buffers, mixed, span_hashes, spans
 
 #: Tokens in a run, and distinct pages of a host that make a run boilerplate.
 RUN, PAGES = 6, 4
-#: Tokens of a host that one task sorts.
+#: Tokens that one task sorts at once.
 SHARD_TOKENS = 2_000_000
+#: Bits of a run's name; names of runs that a task reads at once.
+NAME_BITS, NAMES_READ = 52, 1_000_000
 
 # Element names and words in class or id attributes, by their meaning in HTML.
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "title", "xmp", "noembed", "noframes")
@@ -55,7 +61,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b
 SPACE = re.compile(r"\s+")
 _marked, _roles, _main = frozenset(MARKED.split()), frozenset(ROLES.split()), frozenset(MAIN_MARKED.split())
 _raw, _never, _inline, _void = frozenset(RAW), frozenset(NEVER), frozenset(INLINE), frozenset(VOID)
-ARTICLE, OPEN = 0, 1
+ARTICLE, OPEN, OUTSIDE = 0, 1, 2
 
 
 def judged(name: str, attributes: str, inside: bool) -> str:
@@ -80,15 +86,15 @@ def judged(name: str, attributes: str, inside: bool) -> str:
     return "main" if name in MAIN else ""
 
 
-def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(ARTICLE or OPEN, text) of a page's blocks, in order; what is never article is left out.
+def regions(page: str | None) -> list[tuple[int, str]]:
+    """(ARTICLE, OPEN or OUTSIDE, text) of all blocks of a page, in order.
 
-    Blocks inside any marked article or main element are ARTICLE, and if there are any,
-    nothing else is returned; else all blocks outside of never-article elements are OPEN.
-    An end tag costs the elements that it closes, however many are open.
+    Blocks inside any marked article or main element are ARTICLE, and if there are any, all
+    others are OUTSIDE; else blocks outside of never-article elements are OPEN. An end tag
+    costs the elements that it closes, however many are open.
     """
     page = page if isinstance(page, str) else ""
-    found: list[tuple[bool, str]] = []
+    found: list[tuple[int, str]] = []
     text: list[str] = []
     stack: list[tuple[str, str]] = []  # open block-level or judged elements
     places: dict[str, list[int]] = {}  # of open elements by name, and of judged ones
@@ -100,8 +106,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if text:
             block = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             text.clear()
-            if block and not never:
-                found.append((main > 0, block))
+            if block:
+                found.append((OUTSIDE if never else ARTICLE if main else OPEN, block))
 
     def pop() -> None:
         nonlocal never, main
@@ -113,7 +119,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             main -= kind == "main"
 
     for m in iter(lambda: TOKEN.search(page, at), None):
-        if not never and m.start() > at:
+        if m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
         close, name, attributes, end = m.groups()
@@ -153,18 +159,17 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             if stack[k][1] or not judged_at or judged_at[-1] <= k:
                 while len(stack) > k:
                     pop()
-    if not never and at < len(page):
+    if at < len(page):
         text.append(re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", page[at:]))
     flush()
-    if any(inside for inside, _ in found):
-        return [(ARTICLE, b) for inside, b in found if inside]
-    return [(OPEN, b) for _, b in found]
-
+    if any(kind == ARTICLE for kind, _ in found):
+        return [(kind if kind == ARTICLE else OUTSIDE, b) for kind, b in found]
+    return found
 
-def token_numbers(tokens: list[str]) -> np.ndarray:
-    import xxhash
 
-    return np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64)
+def blocks(page: str | None) -> list[tuple[int, str]]:
+    """The regions of a page that may be article: marked ones, or else the open ones."""
+    return [(kind, b) for kind, b in regions(page) if kind != OUTSIDE]
 
 
 def suffix_runs(stream: np.ndarray, pages: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +188,7 @@ def suffix_runs(stream: np.ndarray, pages: np.ndarray, run: int = RUN) -> tuple[
         after = np.concatenate([rank[step:], np.full(step, -1)])
         rank = np.unique(rank * (n + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
         length += step
-    order = starts[np.lexsort((pages[starts], rank[starts]))]
+    order = np.sort(rank[starts] * n + starts) % n  # pages ascend with places
     r, p = rank[order], pages[order]
     first = np.flatnonzero(np.diff(r, prepend=-1))
     new_page = (np.diff(r, prepend=-1) != 0) | (np.diff(p, prepend=-1) != 0)
@@ -198,80 +203,202 @@ def run_keys(stream: np.ndarray, starts: np.ndarray, run: int = RUN) -> np.ndarr
     return h.view(np.int64)
 
 
-def uncovered(tokens: list[str], numbers: np.ndarray, bad: np.ndarray, run: int = RUN) -> str:
-    """The tokens that no run with a key in bad (ascending) covers, joined by spaces."""
-    if len(tokens) < run or not len(bad):
-        return " ".join(tokens)
-    keys = run_keys(numbers, np.arange(len(tokens) - run + 1), run)
-    hit = bad[np.minimum(np.searchsorted(bad, keys), len(bad) - 1)] == keys
-    cover = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(cover, np.flatnonzero(hit), 1)
-    np.add.at(cover, np.flatnonzero(hit) + run, -1)
-    keep = np.cumsum(cover)[:-1] == 0
-    return " ".join(t for t, k in zip(tokens, keep, strict=True) if k)
+def placed(batches: Iterator[pd.DataFrame], shard_tokens: int) -> Iterator[list[tuple]]:
+    """Shards of about that many tokens: lists of (page_id, url, host, regions), whole pages."""
+    shard, n = [], 0
+    for batch in batches:
+        for page_id, url, host, html in zip(batch.page_id, batch.url, batch.host, batch.html, strict=True):
+            found = regions(html)
+            shard.append((page_id, url, host, found))
+            n += sum(b.count(" ") + 1 for _, b in found)
+            if n >= shard_tokens:
+                yield shard
+                shard, n = [], 0
+    if shard:
+        yield shard
 
 
-def parsed(pages: DataFrame, sure: bool) -> DataFrame:
-    """page_id, url, host, text of the pages that mark their article (sure), or open, the blocks of those that do not."""
+def stream_of(shard: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a shard as numbers, hosts apart, and of each token its block; of each block its page and whether it is ARTICLE.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [blocks(h) for h in batch.html]
-            own = [k for k, f in enumerate(found) if (not f or f[0][0] == ARTICLE) == sure]
-            part = batch.iloc[own]
-            texts = [[b for _, b in found[k]] for k in own]
-            yield pd.DataFrame({"page_id": part.page_id.astype("Int64").array, "url": part.url.array, "text": pd.Series(["\n\n".join(t) if sure else None for t in texts], dtype=object), "open": pd.Series([None if sure else t for t in texts], dtype=object)})
+    Blocks are numbered page by page, those of its article after the others.
+    """
+    texts, page, inside, hosts = [], [], [], []
+    for k, (_, _, host, found) in enumerate(shard):
+        hosts.append((host or "").encode("utf-8", "surrogatepass"))
+        for article in (False, True):
+            for kind, b in found:
+                if (kind == ARTICLE) == article:
+                    texts.append(b.encode("utf-8", "surrogatepass"))
+                    page.append(k)
+                    inside.append(article)
+    numbers, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, data, places in buffers(texts):
+        raw = np.frombuffer(data, np.uint8)
+        starts, ends = spans((raw != 32) & (raw != 10))
+        numbers.append(span_hashes(raw, starts, ends))
+        counts.append(np.diff(np.searchsorted(starts, places)))
+    page, block = np.array(page, np.int64), np.repeat(np.arange(len(texts)), np.concatenate(counts))
+    own = np.concatenate([span_hashes(np.frombuffer(h, np.uint8), np.array([0]), np.array([len(h)])) for h in hosts])
+    return mixed(np.concatenate(numbers) + own[page[block]]), block, page, np.array(inside, bool)
 
-    read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, open array<string>")
-    return read.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1)))
 
+def run_names(stream: np.ndarray, starts: np.ndarray, run: int = RUN) -> np.ndarray:
+    return run_keys(stream, starts, run).view(np.uint64) >> np.uint64(64 - NAME_BITS)
 
-def dealt(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """pages (host, row, open, ...) with a shard, so that a host's shards hold about shard_tokens each."""
-    size = F.aggregate("open", F.lit(0).cast("long"), lambda n, b: n + F.size(F.split(b, " ")))
-    sized = pages.withColumn("n", size)
-    hosts = sized.groupBy("host").agg(F.ceil(F.sum("n") / shard_tokens).alias("shards"))
-    return looked_up(sized, hosts, "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.greatest("shards", F.lit(1)))).drop("n", "shards")
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers, those of like bytes together, compressed."""
+    import zstandard
 
-def stream_of(found) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the tokens of pages (each a list of blocks), one after the other, and the page of each."""
-    tokens = [[t for b in blocks_ for t in b.split(" ")] for blocks_ in found]
-    return token_numbers([t for page in tokens for t in page]), np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
 
 
-def boilerplate(shards: DataFrame, run: int = RUN, least_pages: int = PAGES) -> DataFrame:
-    """(host, shard, key): the boilerplate runs of each host, for every shard that holds them. shards: host, shard, open."""
+def unpacked(data: bytes, dtype: type) -> np.ndarray:
+    import zstandard
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        stream, pages_of = stream_of(group["open"])
-        order, first, held = suffix_runs(stream, pages_of, run)
-        key = run_keys(stream, order[first], run) if len(first) else np.zeros(0, np.int64)
-        return pd.DataFrame({"host": group.host.iloc[0], "shard": group["shard"].iloc[0], "key": key, "held": held.astype(np.int64)})
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return planes.reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
 
-    runs = stored(shards.groupBy("host", "shard").applyInPandas(count, "host string, shard long, key long, held long"))
-    # a page is in one shard, so its shards' counts add up to the pages of a host
-    common = runs.groupBy("host", "key").agg(F.sum("held").alias("held")).where(F.col("held") >= least_pages).select("host", "key")
-    return runs.select("host", "shard", "key").join(common, ["host", "key"])
+
+def parsed(pages: DataFrame, empty: bool = True) -> DataFrame:
+    """page_id, url, html, host of every page, or of those that are not empty."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1))
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
+    return read if empty else read.where("html != ''")
+
+
+def dealt(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """pages with the tokens of a shard; a task deals its pages to shards as it reads them, so no text is shuffled."""
+    return pages.withColumn("shard_tokens", F.lit(shard_tokens))
+
+
+def boilerplate(shards: DataFrame, run: int = RUN, least_pages: int = PAGES) -> DataFrame:
+    """(host, key): the names of each host's boilerplate runs. shards: as ``dealt`` gives."""
+    wide = max(shards.rdd.getNumPartitions(), int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bits = min(max(wide - 1, 1).bit_length(), 32)  # runs are dealt by so many bits of their names, as many as a task of the input has
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first_batch = next(batches, None)
+        if first_batch is None or not len(first_batch):
+            return
+        for shard in placed(itertools.chain([first_batch], batches), int(first_batch.shard_tokens.iloc[0])):
+            stream, block, page, inside = stream_of(shard)
+            segment = 2 * page[block] + inside[block]
+            order, first, _ = suffix_runs(stream, segment, run)
+            if not len(first):
+                continue
+            names, held = run_names(stream, order[first], run), segment[order]
+            new = np.diff(held, prepend=-1) != 0
+            new[first] = True
+            within = np.add.reduceat((new & (held & 1 == 1)).astype(np.int64), first).astype(np.uint32)
+            outside = np.add.reduceat((new & (held & 1 == 0)).astype(np.int64), first).astype(np.uint32)
+            hosts, of_page = np.unique(np.array([h or "" for _, _, h, _ in shard], object), return_inverse=True)
+            host = of_page[held[first] >> 1].astype(np.uint32)
+            by = np.argsort(names)
+            names, host, within, outside = names[by], host[by], within[by], outside[by]
+            bucket = names >> np.uint64(NAME_BITS - bits)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] + np.uint64(1)))
+            yield pd.DataFrame([(int(bucket[a]), hosts.tolist(), packed(np.diff(names[a:b], prepend=np.uint64(0))), *(packed(x[a:b]) for x in (host, within, outside))) for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True)], columns=["bucket", "hosts", "names", "host", "within", "outside"])
+
+    def add(bucket: pd.DataFrame) -> pd.DataFrame:
+        names = np.concatenate([np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in bucket.names])
+        within, outside = (np.concatenate([unpacked(x, np.uint32) for x in bucket[c]]).astype(np.int64) for c in ("within", "outside"))
+        order = np.argsort(names)
+        first = np.flatnonzero(np.diff(names[order], prepend=names[order[0]] + np.uint64(1)))
+        within, outside = np.add.reduceat(within[order], first), np.add.reduceat(outside[order], first)
+        bad = order[first[(within + outside >= least_pages) & (outside >= within)]]
+        hosts = [unpacked(x, np.uint32) for x in bucket.host]
+        row, number = np.searchsorted(np.cumsum([len(x) for x in hosts]), bad, "right"), np.concatenate(hosts)[bad]
+        return pd.DataFrame({"host": pd.Series([bucket.hosts.iloc[r][n] for r, n in zip(row, number, strict=True)], dtype=object), "key": names[bad].astype(np.int64)})
+
+    counts = shards.select("page_id", "url", "html", "host", "shard_tokens").mapInPandas(count, "bucket long, hosts array<string>, names binary, host binary, within binary, outside binary")
+    return counts.groupBy("bucket").applyInPandas(add, "host string, key long")
+
+
+def written(bad: DataFrame) -> str:
+    """Writes the names of boilerplate runs to files in the shared folder, ascending in each; returns the folder."""
+    folder = fresh_dir(bad.sparkSession, "runs")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        names = np.sort(np.concatenate([np.zeros(0, np.int64), *(batch.key.to_numpy(np.int64) for batch in batches)]))
+        if len(names):
+            (fs, base), task = file_system(folder), TaskContext.get()
+            fs.create_dir(base, recursive=True)
+            temporary = f"{base}/.{task.partitionId():06d}.{task.taskAttemptId()}"
+            with fs.open_output_stream(temporary) as sink:
+                sink.write(names.astype("<i8").tobytes())
+            fs.move(temporary, f"{base}/{task.partitionId():06d}.names")
+            yield pd.DataFrame({"names": [len(names)]})
+
+    bad.select("key").mapInPandas(write, "names long").agg(F.sum("names")).first()
+    return folder
+
+
+def names_in(folder: str) -> Iterator[np.ndarray]:
+    """The names in a folder that ``written`` made, ascending in each part of about ``NAMES_READ``."""
+    from pyarrow.fs import FileSelector
+
+    fs, base = file_system(folder)
+    part, n = [], 0
+    for path in sorted(f.path for f in fs.get_file_info(FileSelector(base, allow_not_found=True)) if f.path.endswith(".names")):
+        with fs.open_input_file(path) as file:
+            part.append(np.frombuffer(file.read(), "<i8"))
+        n += len(part[-1])
+        if n >= NAMES_READ:
+            yield np.sort(np.concatenate(part)).view(np.uint64)
+            part, n = [], 0
+    if part:
+        yield np.sort(np.concatenate(part)).view(np.uint64)
+
+
+def covered(stream: np.ndarray, block: np.ndarray, folder: str, run: int = RUN) -> np.ndarray:
+    """Of each token whether a run inside of its block that is named in the folder covers it."""
+    n = len(stream)
+    starts = np.flatnonzero(block[: n - run + 1] == block[run - 1 :]) if n >= run else np.zeros(0, np.int64)
+    names, hit = run_names(stream, starts, run), np.zeros(len(starts), bool)
+    for bad in names_in(folder):
+        hit |= bad[np.minimum(np.searchsorted(bad, names), len(bad) - 1)] == names
+    cover = np.zeros(n + 1, np.int64)
+    cover[starts[hit]] += 1
+    cover[starts[hit] + run] -= 1
+    return np.cumsum(cover)[:-1] > 0
+
+
+def checked(found: list[tuple[int, str]], gone: list[np.ndarray]) -> str:
+    """The text of a page after the check by structure; gone: of each block's tokens whether repetition removed them."""
+    left = []
+    for (kind, b), g in zip(found, gone, strict=True):
+        if kind == OPEN and g.any():
+            b = " ".join(t for t, out in zip(b.split(" "), g, strict=True) if not out)
+        if kind != OUTSIDE and b:
+            left.append(b)
+    return "\n\n".join(left)
 
 
 def main_text(pages: DataFrame, run: int = RUN, least_pages: int = PAGES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of pages; blocks are joined by two newlines."""
-    count = lambda df: df.withColumn("n_chars", F.length("text").cast("long"))
+    """(page_id, url, text, n_chars, n_repeated, n_restored) for every row of pages; blocks are joined by two newlines."""
     # pages are read twice rather than stored in between: their texts are as large as the input
-    sure = parsed(pages, True).select("page_id", "url", "text")
-    unsure = stored(parsed(pages, False).select("page_id", "url", "host", "open", F.monotonically_increasing_id().alias("row")))
-    if unsure.isEmpty():
-        return count(sure)
-
-    def clean(shard: pd.DataFrame, bad: pd.DataFrame) -> pd.DataFrame:
-        keys, texts = np.sort(bad.key.to_numpy(np.int64)), []
-        for found in shard["open"]:
-            left = [uncovered(t, token_numbers(t), keys, run) for t in (b.split(" ") for b in found)]
-            texts.append("\n\n".join(b for b in left if b))
-        return pd.DataFrame({"page_id": shard.page_id.astype("Int64"), "url": shard.url, "text": texts})
-
-    shards = stored(dealt(unsure, shard_tokens))
-    bad = boilerplate(shards, run, least_pages)
-    cleaned = shards.groupBy("host", "shard").cogroup(bad.groupBy("host", "shard")).applyInPandas(clean, "page_id long, url string, text string")
-    return count(sure.union(cleaned))
+    folder = written(stored(boilerplate(dealt(parsed(pages, False), shard_tokens), run, least_pages)))
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for shard in placed(batches, shard_tokens):
+            stream, block, page, inside = stream_of(shard)
+            gone = covered(stream, block, folder, run)
+            ends = np.searchsorted(block, np.arange(len(page) + 1))
+            first = np.searchsorted(page, np.arange(len(shard) + 1))
+            repeated = np.bincount(page[block], gone, len(shard)).astype(np.int64)
+            restored = np.bincount(page[block], gone & inside[block], len(shard)).astype(np.int64)
+            texts = []
+            for k, (_, _, _, found) in enumerate(shard):
+                if repeated[k] == restored[k]:  # the check gives all back
+                    texts.append("\n\n".join(b for kind, b in found if kind != OUTSIDE))
+                    continue
+                own = sorted(found, key=lambda f: f[0] == ARTICLE)  # as the stream has them; a page has ARTICLE or OPEN blocks, not both
+                texts.append(checked(own, [gone[ends[b] : ends[b + 1]] for b in range(first[k], first[k + 1])]))
+            yield pd.DataFrame({"page_id": pd.Series([p for p, _, _, _ in shard], dtype="Int64"), "url": pd.Series([u for _, u, _, _ in shard], dtype=object), "text": texts, "n_repeated": repeated, "n_restored": restored})
+
+    read = parsed(pages).mapInPandas(clean, "page_id long, url string, text string, n_repeated long, n_restored long")
+    return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated", "n_restored")

@@ -104,3 +104,19 @@ def test_whole_query_against_force_on_pages_with_and_without_an_article(spark):
     wanted = by_force(rows)
     assert {r.page_id: r.text for r in extract.main_text(pages).collect()} == wanted
     assert not any(notice in t or menu in t for t in wanted.values())
+
+
+def test_repetition_runs_over_marked_pages_too_and_the_check_follows(spark):
+    menu, story = "all news of the day and of the night", "one story that every paper of the land has printed"
+    page = lambda i, body: f"<nav>{menu}</nav><article><p>{body}</p></article><footer>number {i}</footer>"
+    rows = [(i, "http://h.example/", page(i, story if i < 6 else f"own text of page {i} and {i * 7} words more")) for i in range(9)]
+    rows += [(20, "http://h.example/", f"<div>{menu}</div><div>{story}</div>"), (21, "http://other.example/", f"<div>{menu}</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for shard in (extract.SHARD_TOKENS, 30):
+        got = {r.page_id: (r.text, r.n_repeated, r.n_restored) for r in extract.main_text(pages, shard_tokens=shard).collect()}
+        # the menu of a page without an article is known from pages with one; the story is not boilerplate, as articles hold it
+        assert got[20] == (story, 9, 0) and got[21] == (menu, 0, 0)
+        assert got[0] == (story, 9, 0) and got[8] == ("own text of page 8 and 56 words more", 9, 0)
+    rows = [(i, "http://h.example/", f"<nav>{menu}</nav><article><p>{menu}</p><p>{i}</p></article>" if i == 0 else page(i, i)) for i in range(5)]
+    got = {r.page_id: (r.text, r.n_repeated, r.n_restored) for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == (f"{menu}\n\n0", 18, 9) and got[1] == ("1", 9, 0)
