@@ -23,6 +23,7 @@ text; an empty table gives no shard; extra columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 import re
@@ -46,19 +47,29 @@ CACHE_WORDS = 1_200_000
 #: White space of str.split() beyond the four characters at which every pre-tokenizer splits.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 PLAIN_SPACE = re.compile("[ \t\n\r]+")
+#: Characters of plain words: they have one byte in Latin-1 and are composed forms. No mark begins a token of its own such as 's.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xb5\xba")
+MARKS, DIGITS = "!\"#$%&()*+,-./:;=?@[]^_`{}~\xa1\xbf\xab\xbb", "0123456789"
+PLAIN_WORD = re.compile(f"[{LETTERS}{re.escape(MARKS)}{DIGITS}]+")
+PIECE = re.compile(f"[{LETTERS}]+|[{re.escape(MARKS)}]+|[{DIGITS}]")
+#: The alphabet of byte-level models, where the bytes of no visible character are numbered from 256; line ends stay, as they part the pieces.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+BYTE_LETTERS = "".join("\n" if b == 10 else chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
 
 
 class WordEncoder:
     """Encodes with the tokenizers library, one white-space-separated word at a time, remembering words.
 
     Valid for vocabularies whose pre-tokenizer drops white space and never joins
-    across it; ``test_token_store`` holds it against encoding of whole texts.
+    across it; ``test_token_store`` holds it against encoding of whole texts. Plain
+    words go straight to the library's model if ``plain_pieces`` finds that the
+    normalizer and the pre-tokenizer do nothing to them but what it does.
     Words are kept in two generations of at most half of ``cache_words``, so
     frequent ones stay when rare ones go.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.cache_words = cache_words
 
@@ -66,27 +77,73 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.direct = self.plain_pieces()
+
+    def plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words and where each word's end: their pieces, in lower case and in the alphabet of byte-level models, through the model."""
+        pieces, counts = [], []
+        for w in words:
+            if w.isalpha():
+                pieces.append(w)
+            else:
+                pieces += PIECE.findall(w)
+            counts.append(len(pieces))
+        text = codecs.charmap_decode("\n".join(pieces).lower().encode(), "strict", BYTE_LETTERS)[0]
+        ids = np.asarray(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("pieces without an end")
+        return ids, ends[np.array(counts) - 1]
+
+    def plain_pieces(self) -> bool:
+        """Whether the tokenizer gives every letter, mark, digit, change between them and long word the ids of their pieces."""
+        tried = [w for c in LETTERS + MARKS + DIGITS for w in (c, c * 3, f"a{c}", f"{c}a", f"B{c}A.", f"1{c}2", f"!{c}?")] + ["ab" * 200, *(LETTERS + MARKS).split("z")]
+        end = getattr(self.tokenizer.model, "end_of_word_suffix", None)  # it tells where a piece ends; without it only offsets do
+        if not end or PLAIN_WORD.fullmatch(end) or any(PLAIN_WORD.fullmatch(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return False
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(end)]] = True
+        try:
+            ids, ends = self.plain_ids(tried)
+        except ValueError:
+            return False
+        return all(self.tokenizer.encode(w, add_special_tokens=False).ids == ids[a:b].tolist() for w, a, b in zip(tried, [0, *ends], ends))
 
     def learn(self, words: list[str]) -> None:
-        """Encodes distinct words in one call; offsets tell whose the ids are."""
+        """Encodes distinct words."""
+        if self.direct:
+            plain = [w for w in words if PLAIN_WORD.fullmatch(w)]
+            if plain:
+                ids, ends = self.plain_ids(plain)
+                self.keep(plain, ids, ends.tolist())
+            words = [w for w in words if w not in self.young]
+        if words:
+            self.learn_by_offsets(words)
+
+    def keep(self, words: list[str], ids: np.ndarray, ends: list[int]) -> None:
+        data, at, width = ids.tobytes(), 0, self.dtype.itemsize
+        for w, end in zip(words, ends, strict=True):
+            end *= width
+            self.young[w] = data[at:end]
+            at = end
+
+    def learn_by_offsets(self, words: list[str]) -> None:
+        """Encodes words in one call; offsets tell whose the ids are."""
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         found = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
         starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
-        cuts = np.searchsorted(starts, ends).tolist()
-        ids, at = np.asarray(found.ids, self.dtype).tobytes(), 0
-        for w, cut in zip(words, cuts, strict=True):
-            cut *= self.dtype.itemsize
-            self.young[w] = ids[at:cut]
-            at = cut
+        self.keep(words, np.asarray(found.ids, self.dtype), np.searchsorted(starts, ends).tolist())
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, in order."""
         split = [PLAIN_SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
-        young = self.young
-        if new := set().union(*split).difference(young):
+        young, words = self.young, set().union(*split)
+        if new := words.difference(young):
             if len(young) + len(new) > self.cache_words // 2:
                 self.old, self.young = young, {}
-                new, young = set().union(*split), self.young
+                new, young = words, self.young
             old = self.old
             unknown = []
             for w in new:
@@ -96,7 +153,8 @@ class WordEncoder:
                     unknown.append(w)
             if unknown:
                 self.learn(unknown)
-        return [np.frombuffer(b"".join([young[w] for w in words]), self.dtype) for words in split]
+        ids = {w: young[w] for w in words}.__getitem__  # a small table, where most words are found several times
+        return [np.frombuffer(b"".join(map(ids, t)), self.dtype) for t in split]
 
 
 def grouped(rows: Iterator[tuple], most_chars: int = 1 << 20) -> Iterator[list[tuple]]:

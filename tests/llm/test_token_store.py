@@ -55,3 +55,13 @@ def test_lookup(tmp_path):
 
 def test_no_documents(documents):
     assert token_store.read_shards(token_store.write_shards(documents([]), PATH)).count() == 0
+
+
+def test_plain_words_are_pieces_and_go_to_the_model():
+    e = token_store.WordEncoder(PATH)
+    assert e.direct
+    e.learn_by_offsets = None  # none of these needs the whole pipeline
+    texts = ["Größe, ÉTÉ... the #1 co-op! (naïve) 3.14 a_b @x?! ¿Qué? «où» $$$ ***wh***", "ß ÿ À xYz 100%", "word" * 100]
+    assert [[*map(int, i)] + [1] for i in e(texts)] == [whole(t) for t in texts]
+    odd = ["it's don't", "<|endoftext|> <b> x|y", "ª µ º ² œuvre", "é \xad"]
+    assert [[*map(int, i)] + [1] for i in token_store.WordEncoder(PATH)(odd)] == [whole(t) for t in odd]
