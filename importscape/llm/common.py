@@ -3,18 +3,37 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, stored
 
-__all__ = ["file_system", "fresh_dir", "hinted", "looked_up", "shared_dir", "stored", "table"]
+__all__ = ["file_system", "forget", "fresh_dir", "hinted", "looked_up", "remembered", "shared_dir", "stored", "table"]
 
 #: Rows of one key from which it is joined apart, and keys that may be: a share of all rows that only so many keys can hold.
 HOT_ROWS, HOT_KEYS = 1000, 1000
 
 
+#: What drops the things that a Python worker keeps from task to task.
+_remembered: list[Callable[[], None]] = []
+
+
+def remembered(drop: Callable[[], None]) -> None:
+    """Names what drops a thing that a worker keeps for later tasks of one operator."""
+    _remembered.append(drop)
+
+
+def forget() -> None:
+    """Drops what a worker keeps for other operators, whose stages ran in it before, and gives free memory back."""
+    import pyarrow as pa
+
+    for drop in _remembered:
+        drop()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

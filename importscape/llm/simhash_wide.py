@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, looked_up, stored
+from .common import forget, hinted, looked_up, stored
 from .components import components
 from .hashing import buffers, mixed, span_hashes, spans
 from .simhash import Tree, first_of_each
@@ -44,6 +44,8 @@ WORDS, SIMILARITY, MISS = 5, 0.8, 0.003
 CHECK, POOL = 128, 1024
 #: Sets of a block of the last comparison; rows of a task that builds trees.
 BLOCK, SHARD_TASK_ROWS = 512, 1_000_000
+#: Texts whose sets a worker holds at once.
+SLICE = 500
 #: Ids of documents to read again that may be broadcast (8 bytes each); beyond it they are shuffled.
 BROADCAST_NODES = 500_000
 SPACE = np.array([c in b" \t\n\v\f\r" for c in range(256)])
@@ -118,10 +120,13 @@ def named(docs: DataFrame, words: int, what: str) -> DataFrame:
     """(doc_id, node) of every row of docs, with its wide fingerprint or its set as ``what`` says."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
-            sets = list(shingle_sets(batch.text.tolist(), words))
-            more = [s.tobytes() if what == "set" else wide_fingerprint(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "node": np.array([node(s) for s in sets], np.int64), what: pd.Series(more, dtype=object, index=batch.index)})
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                sets = list(shingle_sets(part.text.tolist(), words))
+                more = [s.tobytes() if what == "set" else wide_fingerprint(s) if len(s) else None for s in sets]
+                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "node": np.array([node(s) for s in sets], np.int64), what: pd.Series(more, dtype=object, index=part.index)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, f"doc_id long, node long, {what} binary")
 
@@ -130,6 +135,7 @@ def dealt(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
     """(key, node, high, low): each node once a table, with the bits that trees compare. nodes: node, bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         weights = np.uint64(1) << np.arange(chosen.shape[1], dtype=np.uint64)
         table = mixed(np.arange(len(chosen), dtype=np.uint64) + np.uint64(1))
         for batch in batches:
@@ -220,6 +226,7 @@ def clustered(rows: DataFrame, parts: int, within: int) -> DataFrame:
         return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("key", "v", "u"), zip(*out, strict=True), strict=True)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for frame in whole_groups(batches):
             yield of_shards(frame)
 

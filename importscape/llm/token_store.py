@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh_dir, stored
+from .common import file_system, fresh_dir, remembered, stored
 
 MAGIC = b"SSTTOK01"
 BLOOM_BITS, BLOOM_HASHES = 10, 7
@@ -175,6 +175,9 @@ def encoder(path: str, cache_words: int) -> WordEncoder:
     return WordEncoder(path, cache_words)
 
 
+remembered(encoder.cache_clear)
+
+
 def key_bytes(doc_id: int | None) -> bytes:
     return b"\0" if doc_id is None else b"\1" + struct.pack(">Q", (doc_id + (1 << 63)) & (2**64 - 1))
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .common import forget
 from .hashing import buffers, mixed, span_hashes, spans
 from .quality import hash_order
 
@@ -199,6 +200,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for t in texts:
             yield pd.Series(shared.value.scores(t.tolist()))
 

@@ -2,7 +2,7 @@ from collections import Counter
 
 import pytest
 
-from importscape.llm import common
+from importscape.llm import common, queries, token_store
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -16,3 +16,11 @@ def test_looked_up_is_a_join(spark, monkeypatch, how, hot_rows):
     same = lambda df: Counter(map(tuple, df.select("i", "key", "value").collect()))
     assert same(common.looked_up(rows, values, "key", how)) == same(rows.join(values, "key", how))
     assert common.looked_up(rows.where("false"), values, "key", how).count() == 0
+
+
+def test_workers_forget_what_other_operators_kept():
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    kept = token_store.encoder(path, 100)
+    assert token_store.encoder(path, 100) is kept
+    common.forget()
+    assert token_store.encoder(path, 100) is not kept
