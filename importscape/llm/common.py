@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, stored
 
-__all__ = ["file_system", "forget", "fresh_dir", "hinted", "looked_up", "remembered", "shared_dir", "stored", "table"]
+__all__ = ["file_system", "forget", "fresh_dir", "give_back", "hinted", "looked_up", "remembered", "shared_dir", "stored", "table", "tidy"]
 
 #: Rows of one key from which it is joined apart, and keys that may be: a share of all rows that only so many keys can hold.
 HOT_ROWS, HOT_KEYS = 1000, 1000
@@ -25,13 +27,32 @@ def remembered(drop: Callable[[], None]) -> None:
     _remembered.append(drop)
 
 
-def forget() -> None:
-    """Drops what a worker keeps for other operators, whose stages ran in it before, and gives free memory back."""
+def give_back() -> None:
+    """Gives a worker's free memory back to its machine; an idle worker would hold it beside the stages that run without it."""
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc; what is freed in pieces stays with the process otherwise
+        trim(0)
+
+
+def forget() -> None:
+    """Drops what a worker keeps for other operators, whose stages ran in it before, and gives free memory back."""
     for drop in _remembered:
         drop()
-    pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function over a task's batches, in a worker that has forgotten other operators' things and holds no free memory after it."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        forget()
+        yield from run(batches)
+        give_back()
+
+    return tidied
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

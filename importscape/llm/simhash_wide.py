@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, hinted, looked_up, stored
+from .common import hinted, looked_up, stored, tidy
 from .components import components
 from .hashing import buffers, mixed, span_hashes, spans
 from .simhash import Tree, first_of_each
@@ -119,23 +120,21 @@ def tables(sets: int, similarity: float, miss: float = MISS) -> np.ndarray:
 def named(docs: DataFrame, words: int, what: str) -> DataFrame:
     """(doc_id, node) of every row of docs, with its wide fingerprint or its set as ``what`` says."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forget()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), SLICE):
-                part = batch.iloc[at : at + SLICE]
-                sets = list(shingle_sets(part.text.tolist(), words))
+                part = batch.slice(at, SLICE)
+                sets = list(shingle_sets(part.column("text").to_pylist(), words))
                 more = [s.tobytes() if what == "set" else wide_fingerprint(s) if len(s) else None for s in sets]
-                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "node": np.array([node(s) for s in sets], np.int64), what: pd.Series(more, dtype=object, index=part.index)})
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node(s) for s in sets], pa.int64()), pa.array(more, pa.binary())], ["doc_id", "node", what])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, f"doc_id long, node long, {what} binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), f"doc_id long, node long, {what} binary")
 
 
 def dealt(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
     """(key, node, high, low): each node once a table, with the bits that trees compare. nodes: node, bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forget()
         weights = np.uint64(1) << np.arange(chosen.shape[1], dtype=np.uint64)
         table = mixed(np.arange(len(chosen), dtype=np.uint64) + np.uint64(1))
         for batch in batches:
@@ -148,7 +147,7 @@ def dealt(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
                 n = len(chosen)
                 yield pd.DataFrame({"key": mixed(code + table).view(np.int64).ravel(), "node": np.repeat(part.node.to_numpy(np.int64), n), "high": np.repeat(check[:, 0], n), "low": np.repeat(check[:, 1], n)})
 
-    return nodes.select("node", "bits").mapInPandas(run, "key long, node long, high long, low long")
+    return nodes.select("node", "bits").mapInPandas(tidy(run), "key long, node long, high long, low long")
 
 
 def clusters_of(values: list[int], within: int) -> list[int]:
@@ -226,11 +225,10 @@ def clustered(rows: DataFrame, parts: int, within: int) -> DataFrame:
         return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("key", "v", "u"), zip(*out, strict=True), strict=True)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forget()
         for frame in whole_groups(batches):
             yield of_shards(frame)
 
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(run, "key long, v long, u long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(tidy(run), "key long, v long, u long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -249,7 +247,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.loc[np.array(keep, bool), ["u", "v"]]
 
     of = lambda end, name: sets.select(F.col("node").alias(end), F.col("set").alias(name))
-    return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
+    return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInPandas(tidy(run), "u long, v long")
 
 
 def across(sets: list[np.ndarray], nodes: np.ndarray, label: np.ndarray, asks: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -284,7 +282,7 @@ def compared(cells: DataFrame, similarity: float) -> DataFrame:
                 found += across(sets[a:b], nodes[a:b], label[a:b], asks[a:b], similarity)
             yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return cells.repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long")
+    return cells.repartition("key").sortWithinPartitions("key").mapInPandas(tidy(run), "u long, v long")
 
 
 def links(docs: DataFrame, distinct: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:

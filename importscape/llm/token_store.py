@@ -34,16 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh_dir, remembered, stored
+from .common import file_system, fresh_dir, give_back, remembered, stored, tidy
 
 MAGIC = b"SSTTOK01"
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 BLOCK_BYTES = 1 << 18
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 1_200_000
+#: Rows of a batch whose texts are made strings at once.
+SLICE = 500
 #: White space of str.split() beyond the four characters at which every pre-tokenizer splits.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 PLAIN_SPACE = re.compile("[ \t\n\r]+")
@@ -170,6 +173,12 @@ def grouped(rows: Iterator[tuple], most_chars: int = 1 << 20) -> Iterator[list[t
         yield group
 
 
+def sliced(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[tuple]:
+    """The rows of a batch; so many at once become Python's."""
+    for at in range(0, len(batch), rows):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, rows).columns), strict=True)
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, cache_words: int) -> WordEncoder:
     return WordEncoder(path, cache_words)
@@ -335,14 +344,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out_dir:
     spark = docs.sparkSession
     out_dir = out_dir or fresh_dir(spark, "tokens")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fs, base = file_system(out_dir)
         writer, encode, task = None, encoder(tokenizer_path, cache_words), TaskContext.get()
         name = f"{base}/shard-{task.partitionId():06d}.sst"
         temporary = f"{name}.{task.taskAttemptId()}.tmp"
-        rows = ((None if pd.isna(d) else int(d), t if isinstance(t, str) else "") for batch in batches for d, t in zip(batch.doc_id.array, batch.text.array, strict=True))
+        rows = ((d, t or "") for batch in batches for d, t in sliced(batch))
         for group in grouped(rows):
             if writer is None:
                 fs.create_dir(base, recursive=True)
@@ -354,10 +363,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, out_dir:
             writer.close()
             sink.close()
             fs.move(temporary, name)
-            yield pd.DataFrame({"shard": [task.partitionId()], "file": [name.rsplit("/", 1)[1]], "docs": [writer.docs], "tokens": [writer.tokens]})
+            made = {"shard": [task.partitionId()], "file": [name.rsplit("/", 1)[1]], "docs": [writer.docs], "tokens": [writer.tokens]}
+            yield pa.RecordBatch.from_pydict(made, pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+        rows = group = ids = writer = None
+        give_back()  # all but the words, which the next task needs
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = stored(ordered.mapInPandas(write, "shard int, file string, docs long, tokens long"))
+    made = stored(ordered.mapInArrow(write, "shard int, file string, docs long, tokens long"))
     before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row a shard
     return made.select("shard", F.concat(F.lit(f"{out_dir}/"), "file").alias("path"), "docs", "tokens", F.coalesce(before, F.lit(0)).alias("start"))
 
@@ -383,4 +395,4 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         return out.assign(doc_id=out.doc_id.astype("Int64"))
 
     spread = manifest.select("path", "start", "shard").repartition(max(1, manifest.count()), "shard")  # a manifest has one row a shard
-    return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInPandas(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

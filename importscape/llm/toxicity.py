@@ -26,15 +26,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import forget
+from .common import tidy
 from .hashing import buffers, mixed, span_hashes, spans
 from .quality import hash_order
 
 ROWS, WIDTH, FILTERS, SIZES = 1 << 18, 8, 8, (1, 2, 3)
+#: Texts that a worker makes strings at once.
+SLICE = 500
 #: Bytes of a word's beginnings that have rows of their own.
 PREFIXES = (4, 5, 6)
 PARTS = 1 + len(PREFIXES)
@@ -198,11 +201,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS * WIDTH numbers
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        forget()
+    @F.arrow_udf("double")
+    @tidy
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
-            yield pd.Series(shared.value.scores(t.tolist()))
+            yield pa.array([s for at in range(0, len(t), SLICE) for s in shared.value.scores(t.slice(at, SLICE).to_pylist()).tolist()], pa.float64())
 
     limit = F.lit(model.threshold)
     for lang, t in sorted(model.thresholds.items()):

@@ -1,5 +1,9 @@
+import re
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from importscape.llm import common, queries, token_store
@@ -24,3 +28,22 @@ def test_workers_forget_what_other_operators_kept():
     assert token_store.encoder(path, 100) is kept
     common.forget()
     assert token_store.encoder(path, 100) is not kept
+
+
+def own_mb():
+    return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+
+@pytest.mark.parametrize("run", [common.forget, lambda: list(common.tidy(iter)([]))])
+def test_workers_give_free_memory_back(run):
+    before = own_mb()
+    pieces = [np.ones(2000, np.uint8) for _ in range(100_000)]
+    last = pieces[-1]  # what lies below it stays with the process when it is freed
+    del pieces
+    run()
+    assert own_mb() < before + 60 and last.all()
+
+
+def test_slices_hold_every_row():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [None, 3, *range(10, 1500)], "text": ["a", None, *map(str, range(10, 1500))]})
+    assert list(token_store.sliced(batch, 7)) == list(zip(*batch.to_pydict().values()))
