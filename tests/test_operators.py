@@ -219,3 +219,39 @@ def test_a_failing_analyzer_is_reported(spark, monkeypatch):
     assert found.count() == 1 and "ZeroDivisionError" in errors["bad"]
     whole = analyzers.envelope(g.nodes, g.edges).first()
     assert (whole.total_findings, whole.analyzers_run, whole.analyzers_failed) == (1, 2, 1) and whole.errors[0].startswith("bad: ZeroDivisionError")
+
+
+def counted(spark, data):
+    """Sources that count how often a text is asked for."""
+    from pyspark.sql import functions as F
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            asked.add(batch.num_rows)
+            yield batch
+
+    made = spark.createDataFrame(data, "path string, content string")
+    return made.mapInArrow(pass_on, "path string, content string").where(F.lit(True)), asked
+
+
+def test_shapes_read_each_text_once(spark):
+    sources, asked = counted(spark, SHAPED)
+    assert len(rows(shapes.type_shapes(sources))) == 4 and asked.value == len(SHAPED)
+
+
+def test_outline_reads_only_texts_that_may_lend(spark, monkeypatch):
+    data = [*SHAPED, ("u.ts", "export type Plain = { a: 1; b: 2 };\n")]
+    every = {(p, n): v for p, n, v in rows(shapes.type_shapes(spark.createDataFrame(data, "path string, content string")))}
+    sources, asked = counted(spark, data)
+    found = rows(shapes.type_shapes(sources, "t.ts"))
+    assert found == [("t.ts", "Wide", every["t.ts", "Wide"])] and asked.value <= 2 * len(data)
+    assert rows(shapes.type_shapes(sources, "u.ts")) == [("u.ts", "Plain", ["a", "b"])] and rows(shapes.type_shapes(sources, "none.ts")) == []
+
+
+def test_types_without_properties_and_parents_from_many_files(spark):
+    data = [("a.ts", "interface E {}\ninterface M extends E, N, Gone { x: 1; }"), ("b.ts", "interface N { y: 1; }"), ("c.ts", "type N = { z: number; }"), ("d.ts", None), ("e.ts", "interface E extends M { w: 1; }")]
+    found = {(p, n): v for p, n, v in rows(shapes.type_shapes(spark.createDataFrame(data, "path string, content string")))}
+    # what e.ts lends from M is M as a.ts knows it, and a.ts has an E of its own
+    assert found == {("a.ts", "E"): [], ("a.ts", "M"): ["x", "y", "z"], ("b.ts", "N"): ["y"], ("c.ts", "N"): ["z"], ("e.ts", "E"): ["w", "x"]}
