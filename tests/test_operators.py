@@ -255,3 +255,32 @@ def test_types_without_properties_and_parents_from_many_files(spark):
     found = {(p, n): v for p, n, v in rows(shapes.type_shapes(spark.createDataFrame(data, "path string, content string")))}
     # what e.ts lends from M is M as a.ts knows it, and a.ts has an E of its own
     assert found == {("a.ts", "E"): [], ("a.ts", "M"): ["x", "y", "z"], ("b.ts", "N"): ["y"], ("c.ts", "N"): ["z"], ("e.ts", "E"): ["w", "x"]}
+
+
+def test_groups_join_what_edges_join(spark):
+    import random
+
+    r = random.Random(5)
+    edges = [(f"{b}/{r.randrange(12)}", f"{b}/{r.randrange(12)}") for b in range(40) for _ in range(14)] + [(f"c{i}", f"c{i + 1}") for i in range(300)]
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[top(a)] = top(b)
+    made = spark.createDataFrame(edges, "source string, target string")
+    found = graph.in_groups(spark.createDataFrame([(x,) for x in parent], "path string"), graph.groups(made), "path").collect()
+    tops = {(top(x.path), x.group) for x in found}
+    assert len(found) == len(parent) and len(tops) == len({t for t, _ in tops}) == len({g for _, g in tops})
+
+
+def test_components_of_long_rings_and_by_labels(spark):
+    ring = [(f"r{i:04}", f"r{(i + 1) % 900:04}") for i in range(900)]  # more hops than the rounds of labels
+    edges = spark.createDataFrame([*ring, ("r0000", "x"), ("x", "x"), ("y", "r0001"), ("a", "b"), ("b", "a")], "source string, target string")
+    wanted = sorted([(a, "r0899") for a, _ in ring] + [("x", "x"), ("a", "b"), ("b", "b")])
+    assert rows(graph.on_cycles(edges).select("path", "component")) == sorted(wanted, key=repr)
+    some = edges.where("source < 'r0000' or source > 'r0895' or source in ('x', 'y')")
+    assert rows(graph.on_cycles(some, whole=2)) == rows(graph.on_cycles(some)) == [("a", "b"), ("b", "b"), ("x", "x")]
