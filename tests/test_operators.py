@@ -284,3 +284,17 @@ def test_components_of_long_rings_and_by_labels(spark):
     assert rows(graph.on_cycles(edges).select("path", "component")) == sorted(wanted, key=repr)
     some = edges.where("source < 'r0000' or source > 'r0895' or source in ('x', 'y')")
     assert rows(graph.on_cycles(some, whole=2)) == rows(graph.on_cycles(some)) == [("a", "b"), ("b", "b"), ("x", "x")]
+
+
+def test_closure_by_groups_is_that_of_hops(spark):
+    import random
+
+    r = random.Random(9)
+    edges = spark.createDataFrame(sorted({(f"{b}/{r.randrange(9)}", f"{b}/{r.randrange(9)}") for b in range(6) for _ in range(14)}), "source string, target string")
+    seeds = edges.select("source").distinct().toDF("path").union(spark.createDataFrame([("none",), ("0/0",)], "path string"))
+    for reverse in (False, True):
+        hops = rows(graph.closure(edges, seeds, reverse))
+        assert rows(graph.closure(edges, seeds, reverse, few=0)) == hops and len(hops) > 100
+        assert rows(graph.closure(edges, seeds, reverse, few=0, most_walks=90)) == hops
+    chain = spark.createDataFrame([(f"v{i}", f"v{i + 1}") for i in range(230)], "source string, target string")  # deeper than the rounds of hops
+    assert graph.closure(chain, chain.select("source").toDF("path")).count() == 231 * 230 // 2
