@@ -298,3 +298,17 @@ def test_closure_by_groups_is_that_of_hops(spark):
         assert rows(graph.closure(edges, seeds, reverse, few=0, most_walks=90)) == hops
     chain = spark.createDataFrame([(f"v{i}", f"v{i + 1}") for i in range(230)], "source string, target string")  # deeper than the rounds of hops
     assert graph.closure(chain, chain.select("source").toDF("path")).count() == 231 * 230 // 2
+
+
+def test_signature_reads_shapes_once(spark):
+    sources, asked = counted(spark, SHAPED)
+    again = spark.createDataFrame(SHAPED, "path string, content string")
+    assert plans.signature(plans.build(sources)).first() == plans.signature(plans.build(again)).first() and asked.value <= 6 * len(SHAPED)
+
+
+def test_a_text_is_searched_once_for_imports(spark):
+    sources = spark.createDataFrame([*SHAPED, ("m.ts", "import d, { type T, U as V } from \"./s';\nexport * from './p'; import('./t')")], "path string, content string")
+    found = imports.occurrences(sources)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [tuple(r)[1:] for r in found.where("path = 'm.ts'").orderBy("pos").collect()] == [(0, "./s", "import d, { type T, U as V } from ", "runtime"), (1, "./p", "export * from ", "runtime"), (2, "./t", "import(", "runtime")]
+    assert plans.summary(plans.build(sources)).first().type_shapes == 4
